@@ -1,3 +1,5 @@
 """SQL twins of the core queries."""
 
-SQL: dict[str, str] = {}
+from cellweave import problems_sql
+
+SQL: dict[str, str] = {**problems_sql.SQL}

@@ -6,4 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from cellweave import problems
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**problems.QUERIES}

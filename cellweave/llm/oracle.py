@@ -1,5 +1,17 @@
 """SQL twins of the training-data queries, where SQL can express them over whole tables."""
 
+_SETS = """
+WITH s AS (
+  SELECT id, list_distinct(list_filter(flatten(list(list_concat(coalesce(instances, []), coalesce(subclasses, [])))), lambda x: x IS NOT NULL)) AS v
+  FROM candidate WHERE id IS NOT NULL GROUP BY id),
+k AS (SELECT id, list_sort(v) AS v FROM s WHERE len(v) >= 4),
+e AS (SELECT id, len(v) AS n, unnest(v) AS x FROM k),
+pairs AS (
+  SELECT a.id AS id_a, b.id AS id_b FROM e a JOIN e b ON a.x = b.x AND a.id < b.id
+  GROUP BY a.id, b.id, a.n, b.n HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*)))
+"""
+
 SQL: dict[str, str] = {
+    "p3_found": _SETS + "SELECT id_a, id_b FROM pairs",
     "p8_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS digest, true AS same FROM documents",
 }

@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import leakage, textform, tokenizer
+from cellweave.llm import leakage, setjoin, textform, tokenizer
 from cellweave.runtime import table
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return setjoin.expand(*setjoin.similar_sets(table(spark, folder, "candidate")))
+
+
+def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each record with four or more values: its class of equal sets, and the number of other classes it is linked to."""
+    members, links = setjoin.similar_sets(table(spark, folder, "candidate"))
+    ends = links.select(F.explode(F.array("key_a", "key_b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
+    return members.join(ends, "class", "left").select(F.col("key").alias("id"), "class", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.encode_corpus(table(spark, folder, "documents"))
 
@@ -39,5 +50,5 @@ def p10_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p8_ids, p8_decoded, p9_found, p9_items, p10_found, p10_text)
+    f.__name__: f for f in (p3_found, p3_classes, p8_ids, p8_decoded, p9_found, p9_items, p10_found, p10_text)
 }

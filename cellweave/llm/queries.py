@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import leakage, mapping, setjoin, textform, tokenizer
+from cellweave.llm import leakage, mapping, overlap, setjoin, textform, tokenizer
 from cellweave.runtime import table
 
 
@@ -22,6 +22,14 @@ def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
     return members.join(ends, "class", "left").select(F.col("key").alias("id"), "class", F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.repeated_tables(table(spark, folder, "table_rows")).select("tab_a", "tab_b")
+
+
+def p4_report(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.overlap_report(overlap.repeated_tables(table(spark, folder, "table_rows")))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return mapping.mapped(table(spark, folder, "cea_gt"), table(spark, folder, "kg_item"))
 
@@ -58,5 +66,5 @@ def p10_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_classes, p7_found, p7_unmatched, p8_ids, p8_decoded, p9_found, p9_items, p10_found, p10_text)
+    f.__name__: f for f in (p3_found, p3_classes, p4_found, p4_report, p7_found, p7_unmatched, p8_ids, p8_decoded, p9_found, p9_items, p10_found, p10_text)
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import leakage, mapping, overlap, setjoin, textform, tokenizer
+from cellweave.llm import leakage, mapping, overlap, setjoin, textform, tokenizer, variants
 from cellweave.runtime import table
 
 
@@ -30,6 +30,15 @@ def p4_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.overlap_report(overlap.repeated_tables(table(spark, folder, "table_rows")))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.same_entity(p6_entities(spark, folder))
+
+
+def p6_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each labelled row: the entity it names."""
+    return variants.entities(table(spark, folder, "vals_labeled"), table(spark, folder, "name_form"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return mapping.mapped(table(spark, folder, "cea_gt"), table(spark, folder, "kg_item"))
 
@@ -66,5 +75,5 @@ def p10_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_classes, p4_found, p4_report, p7_found, p7_unmatched, p8_ids, p8_decoded, p9_found, p9_items, p10_found, p10_text)
+    f.__name__: f for f in (p3_found, p3_classes, p4_found, p4_report, p6_found, p6_entities, p7_found, p7_unmatched, p8_ids, p8_decoded, p9_found, p9_items, p10_found, p10_text)
 }

@@ -1,5 +1,5 @@
 """SQL twins of the core queries."""
 
-from cellweave import problems_sql
+from cellweave import annotation_sql, problems_sql
 
-SQL: dict[str, str] = {**problems_sql.SQL}
+SQL: dict[str, str] = {**annotation_sql.SQL, **problems_sql.SQL}

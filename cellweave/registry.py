@@ -6,6 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellweave import problems
+from cellweave import annotation, problems
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**problems.QUERIES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**annotation.QUERIES, **problems.QUERIES}

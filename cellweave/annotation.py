@@ -117,9 +117,15 @@ def best_title_match(spark, folder):
     return listed.select("response_id", text.best_title_match("asked", "t.title").alias("best"))
 
 
+def _questions(spark, folder, stored: DataFrame) -> DataFrame:
+    """The distinct mentions of all cells, and the stored questions themselves in capitals."""
+    mentions = cells.cells(table(spark, folder, "table_rows")).select("mention")
+    return mentions.unionAll(stored.select(F.upper("asked").alias("mention"))).distinct()
+
+
 def search_lookup(spark, folder):
-    mentions = cells.cells(table(spark, folder, "table_rows")).select("mention").distinct()
-    found = suggestion.lookup(mentions, suggestion.searches(table(spark, folder, "raw_response")))
+    stored = cut(suggestion.searches(table(spark, folder, "raw_response")))
+    found = suggestion.lookup(_questions(spark, folder, stored), stored)
     return found.where("response_id is not null").select("mention", "response_id", "altered")
 
 
@@ -129,8 +135,8 @@ def search_request(spark, folder):
 
 
 def _suggested(spark, folder) -> DataFrame:
-    mentions = cells.cells(table(spark, folder, "table_rows")).select("mention").distinct()
-    return suggestion.suggestions(mentions, suggestion.searches(table(spark, folder, "raw_response")))
+    stored = cut(suggestion.searches(table(spark, folder, "raw_response")))
+    return suggestion.suggestions(_questions(spark, folder, stored), stored)
 
 
 def suggestions(spark, folder):
@@ -169,7 +175,7 @@ def validate_response(spark, folder):
 
 
 def _top(spark, folder, limit=FEATURE_LIMIT) -> DataFrame:
-    return candidates.top_candidates(_dataset(spark, folder), entities.catalogue(table(spark, folder, "candidate")), limit)
+    return candidates.top_candidates(_dataset(spark, folder), _known(spark, folder), limit)
 
 
 def _found(spark, folder) -> DataFrame:
@@ -189,7 +195,7 @@ def candidate_recall(spark, folder):
 
 
 def fetch_completeness(spark, folder):
-    return candidates.completeness(_dataset(spark, folder), _found(spark, folder), entities.catalogue(table(spark, folder, "candidate")))
+    return candidates.completeness(_dataset(spark, folder), _found(spark, folder), _known(spark, folder))
 
 
 def distinct_mentions(spark, folder):

@@ -1,6 +1,7 @@
 """SQL twins of the queries in ``annotation``. The pairwise definitions are used here where the library has a faster form."""
 
 from cellweave.functions.text import PUNCTUATION, STOP_WORDS
+from cellweave.problems_sql import CLASSES as _CLASSES
 
 P = "http://kg.tablelink.example/entity/"
 PP = "http://kg.tablelink.example/prop/direct/"
@@ -82,7 +83,7 @@ _TOP = (
     + _KNOWN
     + f""",
 asked AS (SELECT mention, unnest({_KEYS.format("mention")}) AS k FROM (SELECT DISTINCT mention FROM ds WHERE mention <> '')),
-posted AS (SELECT id, title, unnest({_KEYS.format("title")}) AS k FROM cat WHERE title <> ''),
+posted AS (SELECT id, title, unnest({_KEYS.format("title")}) AS k FROM known WHERE title <> ''),
 rare AS (SELECT k FROM posted GROUP BY k HAVING count(*) <= 40),
 prs AS (SELECT DISTINCT mention, id AS entity_id, title FROM asked JOIN posted USING (k) WHERE k IN (SELECT k FROM rare)),
 scored AS (SELECT mention, entity_id, {ratio("mention", "title")} AS score FROM prs),
@@ -157,7 +158,7 @@ WHERE correct_id < next_id GROUP BY 1, 2""",
 b1 AS (SELECT response_id, asked, subset, row_number() OVER (PARTITION BY response_id ORDER BY far, pos, nth) AS rn FROM d),
 b2 AS (SELECT response_id, asked, regexp_replace(subset, '[,:;\\-. ?!]+$', '') AS s FROM b1 WHERE rn = 1)
 SELECT response_id, CASE WHEN ends_with(s, '...') THEN asked ELSE replace(s, chr(8217), '''') END AS best FROM b2""",
-    "search_lookup": f"WITH {_CELLS}, {_SEARCH} SELECT DISTINCT mention, response_id, altered FROM cells JOIN stored ON lower(mention) = asked",
+    "search_lookup": f"WITH {_CELLS}, {_SEARCH}, ask AS (SELECT mention FROM cells UNION SELECT upper(asked) FROM stored) SELECT mention, response_id, altered FROM ask JOIN stored ON lower(mention) = asked",
     "search_request": f"WITH {_CELLS} SELECT DISTINCT mention, mention || 'site:www.wikidata.org' AS request FROM cells WHERE col = 0",
     "entity_parse": f"""WITH {_CAT}, n AS (SELECT id, max(title) AS t, max(description) AS d FROM candidate GROUP BY id)
 SELECT id, title, description, len(instances) + len(subclasses) AS claims FROM cat""",
@@ -168,7 +169,7 @@ SELECT id, title, description, len(instances) + len(subclasses) AS claims FROM c
     "candidate_topk": _TOP + "SELECT mention, entity_id, pos FROM ranked WHERE pos < 30",
     "correct_candidate": _DATA + ", " + _KNOWN + 'SELECT tab_id, "row", col, correct_id, title, id IS NOT NULL AS fetched FROM ds LEFT JOIN known ON id = correct_id',
     "candidate_recall": _FOUND + 'SELECT (SELECT count(*) FROM ds) AS cells, count(*) AS hit FROM (SELECT DISTINCT tab_id, "row", col FROM found WHERE entity_id = correct_id)',
-    "fetch_completeness": _FOUND + """SELECT tab_id, col, count(*) AS cells, bool_and(correct_id IN (SELECT id FROM cat)) AS complete FROM ds GROUP BY 1, 2""",
+    "fetch_completeness": _FOUND + """SELECT tab_id, col, count(*) AS cells, bool_and(correct_id IN (SELECT id FROM known)) AS complete FROM ds GROUP BY 1, 2""",
     "distinct_mentions": f"""WITH {_CELLS} SELECT mention, tab_id, "row", col FROM (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY tab_id, "row", col) AS rn FROM cells) WHERE rn = 1""",
     "merge_dict": f"""WITH {_CAT}, r AS (SELECT CAST(item_id[2:] AS BIGINT) AS id, upper(label) AS title FROM kg_item)
 SELECT coalesce(r.id, c.id) AS id, CASE WHEN r.id IS NOT NULL THEN r.title ELSE c.title END AS title FROM cat c FULL JOIN r ON r.id = c.id""",
@@ -192,6 +193,48 @@ a AS (SELECT gold, CASE WHEN n % 5 = 0 THEN 'P0' ELSE gold END AS ann FROM g WHE
 s AS (SELECT count(*) AS n, CAST(sum((lower(gold) = lower(ann))::INT) AS DOUBLE) AS c, (SELECT count(*) FROM g) AS g FROM a) """ + _PRF.format(""),
 }
 
+_TEXT = "json_type({0}, '$.{1}') = 'VARCHAR'"
+_HIT_FIELDS = "['id', 'title', 'pageid', 'display', 'repository', 'url', 'concepturi', 'label', 'description', 'match', 'aliases']"
+_INT = "('BIGINT', 'UBIGINT')"
+SQL["validate_response"] = (
+    f"WITH d AS (SELECT response_id, max_by(CAST(body AS JSON), (received_at, body)) AS doc FROM raw_response WHERE endpoint = 'kg' AND response_id IS NOT NULL AND json_valid(body) GROUP BY 1), "
+    + f"""r AS (SELECT response_id, CASE WHEN json_type(doc) <> 'OBJECT' THEN 'not an object'
+  WHEN len(list_filter(json_keys(doc), lambda k: k NOT IN ('searchinfo', 'search', 'search_continue', 'success'))) > 0 THEN 'unknown field'
+  WHEN coalesce(json_type(doc, '$.searchinfo.search'), '') <> 'VARCHAR' THEN 'searchinfo'
+  WHEN coalesce(json_type(doc, '$.search'), '') <> 'ARRAY' THEN 'search'
+  WHEN json_type(doc, '$.search_continue') NOT IN {_INT} THEN 'search_continue'
+  WHEN coalesce(try_cast(doc->>'$.success' AS INTEGER), 0) <> 1 THEN 'success' END AS top,
+  CASE WHEN json_type(doc, '$.search') = 'ARRAY' THEN CAST(doc->'$.search' AS JSON[]) ELSE [] END AS hits FROM d),
+h AS (SELECT response_id, top, list_filter(list_transform(hits, lambda h: CASE
+  WHEN len(list_filter(json_keys(h), lambda k: NOT list_contains({_HIT_FIELDS}, k))) > 0 THEN 'hit: unknown field'
+  WHEN NOT coalesce({" AND ".join(_TEXT.format("h", c) for c in ("id", "title", "repository", "url", "concepturi", "label"))}, false) THEN 'hit: text field'
+  WHEN coalesce(json_type(h, '$.pageid'), '') NOT IN {_INT} THEN 'hit: pageid'
+  WHEN h->>'$.repository' <> 'kgdata' THEN 'hit: repository'
+  WHEN NOT coalesce({_TEXT.format("h", "display.label.value")} AND {_TEXT.format("h", "display.label.language")}, false) THEN 'hit: display'
+  WHEN coalesce(h->>'$.match.type', '') NOT IN ('label', 'alias') THEN 'hit: match'
+  WHEN json_type(h, '$.description') <> 'VARCHAR' THEN 'hit: description'
+  WHEN json_type(h, '$.aliases') IS NOT NULL AND (json_type(h, '$.aliases') <> 'ARRAY' OR len(list_filter(CAST(h->'$.aliases' AS JSON[]), lambda a: json_type(a) <> 'VARCHAR')) > 0) THEN 'hit: aliases' END),
+  lambda x: x IS NOT NULL) AS broken FROM r)
+SELECT response_id, coalesce(top, broken[1]) IS NULL AS is_valid, coalesce(top, broken[1]) AS reason FROM h"""
+)
+SQL["cta_eval"] = (
+    _CLASSES
+    + f""", bel AS (SELECT '{P}Q' || a AS anc, '{P}Q' || node AS node, len(trail) - p AS d FROM (SELECT node, trail, unnest(trail) AS a, generate_subscripts(trail, 1) AS p FROM ended) WHERE a <> node),
+gold AS (SELECT tab_id, col_id, list_transform(string_split_regex(trim(max(type)), '\\s+'), lambda t: CASE WHEN starts_with(t, '{P}') THEN t ELSE '{P}' || t END) AS types
+  FROM cta_gt WHERE type IS NOT NULL AND trim(type) <> '' GROUP BY 1, 2),
+f AS (SELECT tab_id, col_id, types, types[1] AS t, CAST(right(types[1], 1) AS INTEGER) AS digit FROM gold),
+high AS (SELECT f.tab_id, f.col_id, max((d, anc)) AS u FROM f JOIN bel ON bel.node = f.t WHERE d <= digit GROUP BY 1, 2),
+down AS (SELECT anc, max((d, node)) AS u FROM bel GROUP BY 1),
+sub AS (SELECT f.*, lower(CASE WHEN digit % 4 = 3 THEN coalesce(down.u[2], t) ELSE coalesce(high.u[2], t) END) AS said
+  FROM f LEFT JOIN high USING (tab_id, col_id) LEFT JOIN down ON down.anc = f.t),
+e AS (SELECT tab_id, col_id, said, lower(unnest(types)) AS g FROM sub),
+best AS (SELECT tab_id, col_id, max(CASE WHEN g = said THEN 1.0 WHEN b1.d IS NOT NULL THEN CASE WHEN b1.d <= 5 THEN pow(0.8, b1.d) ELSE 0.0 END
+  WHEN b2.d IS NOT NULL THEN CASE WHEN b2.d <= 3 THEN pow(0.7, b2.d) ELSE 0.0 END ELSE 0.0 END) AS b
+  FROM e LEFT JOIN bel b1 ON lower(b1.node) = g AND lower(b1.anc) = said LEFT JOIN bel b2 ON lower(b2.anc) = g AND lower(b2.node) = said GROUP BY 1, 2),
+s AS (SELECT count(*) AS n, sum(b) AS c, (SELECT count(*) FROM gold) AS g FROM best) """
+    + _PRF.format("")
+)
+
 for _name, _where in (("spellcheck_accuracy", ""), ("spellcheck_accuracy_hard", " AND label <> actual_label")):
     SQL[_name] = (
         rf"SELECT count(*) AS total, count(*) FILTER (WHERE lower(regexp_replace(trim(label), '\s+', ' ', 'g')) = lower(actual_label)) AS correct,"
@@ -204,7 +247,8 @@ def _suggestion() -> str:
     """The decision tree over the distinct mentions; the closest subset is taken only for mentions that have an answer with pages."""
     return (
         f"WITH {_CELLS}, {_SEARCH}, "
-        + r"""m AS (SELECT DISTINCT mention, altered, titles FROM cells JOIN stored ON lower(mention) = asked WHERE titles IS NOT NULL),
+        + r"""ask AS (SELECT mention FROM cells UNION SELECT upper(asked) FROM stored),
+m AS (SELECT mention, altered, titles FROM ask JOIN stored ON lower(mention) = asked WHERE titles IS NOT NULL),
 ok AS (SELECT mention, altered AS s FROM m WHERE altered IS NOT NULL AND len(list_filter(titles, lambda t: contains(t, altered))) > 0),
 rest AS (SELECT mention, list_filter(titles, lambda t: t IS NOT NULL) AS titles FROM m WHERE mention NOT IN (SELECT mention FROM ok)),
 w AS (SELECT mention, CAST(i AS INTEGER) AS pos, replace(titles[i], ' - Wikidata', '') AS whole, list_filter(string_split_regex(replace(titles[i], ' - Wikidata', ''), '\s+'), lambda x: x <> '') AS ws
@@ -217,7 +261,7 @@ lows AS (SELECT mention, pos, k, subset, lower(mention) AS a, lower(subset) AS b
         + r"""b1 AS (SELECT mention, regexp_replace(subset, '[,:;\-. ?!]+$', '') AS s, row_number() OVER (PARTITION BY mention ORDER BY far, pos, CASE WHEN k = 0 THEN 1 ELSE 0 END, k) AS rn FROM d),
 b2 AS (SELECT mention, CASE WHEN ends_with(s, '...') THEN mention ELSE replace(s, chr(8217), '''') END AS s FROM b1 WHERE rn = 1),
 u AS (SELECT * FROM ok UNION ALL SELECT * FROM b2),
-v AS (SELECT mention, replace(replace(replace(replace(replace(s, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS suggestion FROM u)"""
+v AS (SELECT mention, regexp_replace(replace(replace(replace(replace(s, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;?', '&', 'g') AS suggestion FROM u)"""
     )
 
 

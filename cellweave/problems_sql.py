@@ -1,6 +1,6 @@
 """SQL twins of the queries in ``problems``."""
 
-_CLASSES = """
+CLASSES = """
 WITH RECURSIVE cls AS (
   SELECT id, min(list_min(list_filter(subclasses, lambda x: x IS NOT NULL))) AS parent
   FROM candidate WHERE id IS NOT NULL AND coalesce(len(instances), 0) = 0 GROUP BY id),
@@ -61,9 +61,9 @@ e AS (SELECT line_id, feed, c, CASE WHEN NOT quoted THEN 'quoting' WHEN len(c) <
 """
 
 SQL = {
-    "p1_found": _CLASSES
+    "p1_found": CLASSES
     + "SELECT node AS node_id, root AS root_id, CAST(len(trail) - 1 AS INTEGER) AS depth FROM ended UNION ALL SELECT node, root, -1 FROM ring",
-    "p1_descendants": _CLASSES
+    "p1_descendants": CLASSES
     + "SELECT a AS ancestor, node AS node_id, CAST(len(trail) - p AS INTEGER) AS distance FROM (SELECT node, trail, unnest(trail) AS a, generate_subscripts(trail, 1) AS p FROM ended) WHERE a <> node",
     "p2_found": _P2_ROWS,
     **{f"p2_{c}": _P2_ROWS + f" WHERE child = '{c}'" for c in ("query", "page", "link", "hit", "display", "alias")},

@@ -38,8 +38,8 @@ def walk(nodes: list[int], parents: list[int | None], paths: bool) -> Iterator[t
     ``first`` and ``last`` number the nodes in the order of the walk: the
     descendants of a node are those whose ``first`` lies in its (first, last].
     A node whose chain never ends has depth -1, the smallest id of its ring as
-    root, no path and no numbers. ``back_edge`` marks the node whose parent
-    link closes the ring.
+    no path and no numbers. ``back_edge`` marks the ring node whose parent
+    link leads to that smallest id.
     """
     children: dict[int, list[int]] = {}
     known = set(nodes)
@@ -89,7 +89,7 @@ def walk(nodes: list[int], parents: list[int | None], paths: bool) -> Iterator[t
         if node in grey:  # met on this very trail: a ring
             ring = trail[trail.index(node) :]
             root = min(ring)
-            closing = ring[-1]
+            closing = ring[ring.index(root) - 1]
         else:
             root, closing = done[node][1], None
         for x in trail:

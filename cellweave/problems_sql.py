@@ -63,6 +63,9 @@ e AS (SELECT line_id, feed, c, CASE WHEN NOT quoted THEN 'quoting' WHEN len(c) <
 SQL = {
     "p1_found": CLASSES
     + "SELECT node AS node_id, root AS root_id, CAST(len(trail) - 1 AS INTEGER) AS depth FROM ended UNION ALL SELECT node, root, -1 FROM ring",
+    "p1_paths": CLASSES
+    + """SELECT node AS node_id, array_to_string(trail, '/') AS path, CAST(len(trail) - 1 AS INTEGER) AS depth, root AS root_id, false AS back_edge FROM ended
+UNION ALL SELECT r.node, NULL, -1, r.root, u.nxt = r.node AND c.parent = r.root FROM ring r JOIN up u ON u.node = r.node AND u.nxt IS NOT NULL AND list_contains(u.trail, u.nxt) JOIN cls c ON c.id = r.node""",
     "p1_descendants": CLASSES
     + "SELECT a AS ancestor, node AS node_id, CAST(len(trail) - p AS INTEGER) AS distance FROM (SELECT node, trail, unnest(trail) AS a, generate_subscripts(trail, 1) AS p FROM ended) WHERE a <> node",
     "p2_found": _P2_ROWS,

@@ -7,6 +7,8 @@ aggregated per line; clean lines are the anti-join.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,30 +29,41 @@ REASONS = ["quoting", "column_count", "invalid_value"]
 _COMMA = "\x01"
 
 
+def _with_pieces(record: Column, what: Callable[[Column, Column], Column]) -> Column:
+    """``what`` of the pieces between quotes and the index of the last: bound once, so long records stay linear."""
+    pieces = F.split(record, '"', -1)
+    bound = F.array(F.struct(pieces.alias("p"), (F.size(pieces) - 1).alias("last")))
+    return F.element_at(F.transform(bound, lambda x: what(x["p"], x["last"])), 1)
+
+
 def quoting_ok(record: Column) -> Column:
     """Whether quotes stand only around whole fields, closed and doubled inside.
 
     Cut at quotes, pieces with an even index lie outside. Between two quoted
     stretches such a piece is empty (a doubled quote) or begins and ends at a comma.
     """
-    parts = F.split(record, '"', -1)
-    last = F.size(parts) - 1
-    inner = F.forall(
-        F.transform(parts, lambda s, i: (i % 2 == 1) | (i == 0) | (i == last) | (s == "") | (s.startswith(",") & s.endswith(","))), lambda ok: ok
-    )
-    first, end = F.element_at(parts, 1), F.element_at(parts, -1)
-    return (last == 0) | ((last % 2 == 0) & ((first == "") | first.endswith(",")) & ((end == "") | end.startswith(",")) & inner)
+
+    def well(parts: Column, last: Column) -> Column:
+        inner = F.forall(
+            F.transform(parts, lambda s, i: (i % 2 == 1) | (i == 0) | (i == last) | (s == "") | (s.startswith(",") & s.endswith(","))), lambda ok: ok
+        )
+        first, end = F.element_at(parts, 1), F.element_at(parts, -1)
+        return (last == 0) | ((last % 2 == 0) & ((first == "") | first.endswith(",")) & ((end == "") | end.startswith(",")) & inner)
+
+    return _with_pieces(record, well)
 
 
 def cells_of(record: Column) -> Column:
     """The fields of a well-quoted record, without their quotes."""
-    parts = F.split(record, '"', -1)
-    last = F.size(parts) - 1
-    masked = F.transform(
-        parts,
-        lambda s, i: F.when(i % 2 == 1, F.replace(s, F.lit(","), F.lit(_COMMA))).when((s == "") & (i > 0) & (i < last), F.lit('"')).otherwise(s),
-    )
-    return F.transform(F.split(F.array_join(masked, ""), ",", -1), lambda c: F.replace(c, F.lit(_COMMA), F.lit(",")))
+
+    def cut_up(parts: Column, last: Column) -> Column:
+        masked = F.transform(
+            parts,
+            lambda s, i: F.when(i % 2 == 1, F.replace(s, F.lit(","), F.lit(_COMMA))).when((s == "") & (i > 0) & (i < last), F.lit('"')).otherwise(s),
+        )
+        return F.transform(F.split(F.array_join(masked, ""), ",", -1), lambda c: F.replace(c, F.lit(_COMMA), F.lit(",")))
+
+    return _with_pieces(record, cut_up)
 
 
 def records(lines: DataFrame) -> DataFrame:

@@ -119,7 +119,7 @@ def common_words(names: DataFrame) -> list[str]:
     """Words of at least ``COMMON_SHARE`` of all names: at most 1 / COMMON_SHARE times the words of a name, so few."""
     each = names.select(F.explode(F.array_distinct(_words("name"))).alias("word"))
     total = names.count()
-    rows = each.groupBy("word").count().where(F.col("count") >= max(2, COMMON_SHARE * total)).select("word").collect()
+    rows = each.groupBy("word").count().where(F.col("count") >= max(4, COMMON_SHARE * total)).select("word").collect()
     return sorted(r[0] for r in rows)
 
 

@@ -98,10 +98,10 @@ def _tail_route(piece: str) -> str:
 
 
 def same_value(a: str, b: str) -> bool:
-    """Equal, or one slip of a letter apart; digits don't slip."""
+    """Equal, or one slip of a letter apart; digits don't slip, and of two single letters none is a slip of the other."""
     if a == b:
         return True
-    if slips(a, b, 1) > 1:
+    if len(a) == len(b) == 1 or slips(a, b, 1) > 1:
         return False
     return [c for c in a if c.isdigit()] == [c for c in b if c.isdigit()]
 

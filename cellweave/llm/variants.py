@@ -32,7 +32,7 @@ _DOTTED = re.compile(r"\bg\.\s?m\.\s?b\.\s?h\b\.?|\bs\.\s?a\.")
 
 RADIUS = 1
 #: Spellings in one cell, and pivots of one block at most: what is broadcast is bounded by blocks x pivots.
-CELL_SPELLINGS = 4_000
+CELL_SPELLINGS = 10_000
 MOST_PIVOTS = 256
 
 

@@ -59,6 +59,11 @@ def target_cells(targets: DataFrame, all_cells: DataFrame) -> DataFrame:
     return targets.select("tab_id", "row", "col").dropDuplicates().join(all_cells, ["tab_id", "row", "col"])
 
 
+def without(gold: DataFrame, denied: DataFrame, key: str) -> DataFrame:
+    """Gold rows whose ``key`` is not in the deny list; null keys stay."""
+    return gold.join(denied.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
+
+
 def cell_key(tab: Column, row: Column, col: Column) -> Column:
     """The name under which a cell's response is stored."""
     return F.concat_ws("_", tab, row, col)

@@ -65,6 +65,12 @@ def test_gold_and_cells(spark):
     assert [tuple(r) for r in cells.gold_cells(gold).collect()] == [("ABCD1234", 3, 0, [9], 9)]
 
 
+def test_deny_list(spark):
+    gold = spark.createDataFrame([("a",), ("b",), (None,), ("a",)], "url string")
+    deny = spark.createDataFrame([("a",), (None,)], "url string")
+    assert sorted((r[0] for r in cells.without(gold, deny, "url").collect()), key=str) == [None, "b"]
+
+
 def known_rows(spark, n, rnd):
     words = "red blue green lake hill".split()
     pick = lambda k: [rnd.randrange(6) for _ in range(rnd.randrange(k))]

@@ -31,6 +31,8 @@ LINKING = {"the", "of", "and"}
 _DOTTED = re.compile(r"\bg\.\s?m\.\s?b\.\s?h\b\.?|\bs\.\s?a\.")
 
 RADIUS = 1
+#: A word in fewer of the labels is not shared: at most the words of a label over this part are, whatever the number of labels.
+SHARED_PART = 0.0005
 #: Spellings in one cell, and pivots of one block at most: what is broadcast is bounded by blocks x pivots.
 CELL_SPELLINGS = 10_000
 MOST_PIVOTS = 256
@@ -166,7 +168,12 @@ def lexicon_of(labels: DataFrame, forms: DataFrame) -> Lexicon:
         beside.join(partners, "word").join(fewer, "other", "left").where("coalesce(less, 0) < deg").groupBy("word").agg(F.count("*").alias("k"), F.max("deg").alias("deg")).where("k >= 3 and 2 * k >= deg").join(counts, "word")
     )
     given, kinds = set(), set()
-    for r in shared.select("word", "n", "firm").orderBy(F.desc("n"), "word").limit(5_000).collect():
+    often = shared.where(F.col("n") >= SHARED_PART * rows.count())
+    accepted: list[tuple[str, int]] = []
+    for r in often.select("word", "n", "firm").orderBy(F.desc("n"), "word").collect():
+        if any(n >= 5 * r["n"] and slips(r["word"], w, 1) <= 1 for w, n in accepted):
+            continue  # a frequent slip
+        accepted.append((r["word"], r["n"]))
         (kinds if r["firm"] >= 0.1 else given).add(r["word"])
     short_given, short_kind = {}, {}
     for r in forms.where("form is not null and full_form is not null").collect():
@@ -284,7 +291,6 @@ def entities(rows: DataFrame, forms: DataFrame) -> DataFrame:
     texts = once.select(F.explode(F.array("label", "actual_label")).alias("text"))
     lexicon = lexicon_of(texts, forms)
     named = cut(read_labels(once, lexicon).where("name.core is not null"))
-    known = named.sparkSession.sparkContext.broadcast(lexicon)
     same = F.col("other.core").isNotNull() & (F.substring("other.block", 1, 1) == F.substring("name.block", 1, 1))
 
     @F.pandas_udf(T.BooleanType())

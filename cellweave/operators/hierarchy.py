@@ -159,8 +159,8 @@ def hierarchy(links: DataFrame, paths: bool = True, in_task: int = 200_000) -> D
     ``depth`` counts the links to the root: the first id up the chain that names
     no parent or has no row of its own. Cycles give depth -1 and the smallest id
     of the ring. Nodes of components larger than ``in_task`` have null ``path``,
-    ``first``, ``last`` and ``back_edge`` (their descendants follow from
-    ``descendants``). An empty input gives no rows.
+    ``first``, ``last`` and ``back_edge``, and ``descendants`` has no rows for
+    them. An empty input gives no rows.
     """
     edges = links.select(F.col("node").alias("a"), F.coalesce("parent", "node").alias("b"))
     member = connected_components(edges).withColumnRenamed("node", "member")

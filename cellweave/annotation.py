@@ -11,7 +11,6 @@ from cellweave.runtime import cut, table
 
 PREFIX = "http://kg.tablelink.example/entity/"
 PROPERTY_PREFIX = "http://kg.tablelink.example/prop/direct/"
-FEATURE_LIMIT = 5
 
 
 def _dataset(spark: SparkSession, folder: str) -> DataFrame:
@@ -174,8 +173,8 @@ def validate_response(spark, folder):
     return validation.validated(nested.deliveries(table(spark, folder, "raw_response").where("endpoint = 'kg'")), repository="kgdata")
 
 
-def _top(spark, folder, limit=FEATURE_LIMIT) -> DataFrame:
-    return candidates.top_candidates(_dataset(spark, folder), _known(spark, folder), limit)
+def _top(spark, folder) -> DataFrame:
+    return candidates.top_candidates(_dataset(spark, folder), _known(spark, folder))
 
 
 def _found(spark, folder) -> DataFrame:
@@ -183,7 +182,7 @@ def _found(spark, folder) -> DataFrame:
 
 
 def candidate_topk(spark, folder):
-    return _top(spark, folder, candidates.LIMIT)
+    return _top(spark, folder)
 
 
 def correct_candidate(spark, folder):

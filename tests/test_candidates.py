@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from cellweave import annotation
 from cellweave.functions.text import ratio_of
 from cellweave.operators import candidates
 
@@ -40,3 +41,12 @@ def test_frequent_keys_keep_their_entities(spark, monkeypatch, chunk):
         got = sorted(tuple(r) for r in candidates.top_candidates(*frames, limit).collect())
         assert got == brute(mentions, known, limit)
     assert ("Krantrostina Observatory", 100, 0) in got
+
+
+def test_registered_queries_use_all_thirty(spark, sf):
+    top = annotation.candidate_topk(spark, sf)
+    each = annotation.open_dataset(spark, sf).join(top, "mention")
+    found = annotation.label_vectors(spark, sf)
+    assert found.agg({"pos": "max"}).first()[0] > 4
+    assert found.count() == each.count()
+    assert annotation.candidate_recall(spark, sf).first()["hit"] == each.where("entity_id = correct_id").count()

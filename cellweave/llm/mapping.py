@@ -3,8 +3,9 @@
 Values and names are cut into padded trigrams of their particular words (the
 words that many names share, and abbreviations of them, carry no signal and are
 left out). A prefix-filter join ordered by global rarity finds the entries whose
-trigrams overlap; each hit is verified by its exact Jaccard similarity and then
-by the slips between the typed text and every arrangement of the entry's words.
+trigrams overlap by their exact Jaccard similarity. In short words two slips can
+leave almost no trigram, so short texts also meet in what is left of their
+particular words without up to two letters. Each hit is verified by the slips between the typed text and every arrangement of the entry's words.
 The entry with the fewest slips is kept.
 """
 
@@ -23,11 +24,13 @@ from cellweave.llm import setjoin
 from cellweave.llm.names import plain, shortens, slips, words
 from cellweave.runtime import cut, spread
 
-#: Similarity of trigram sets from which an entry is verified; low enough for two slips in one word.
+#: Similarity of trigram sets from which an entry is verified. A slip costs at most four trigrams, so two leave (n - 8) / (n + 8) of n: enough from 12 on.
 AT_LEAST = Fraction(1, 5)
 #: A word of this share of all names or more is common.
 COMMON_SHARE = 0.02
 MOST_SLIPS = 2
+#: Letters up to which particular words also meet by deletions; longer ones have 12 trigrams and more.
+SHORT = 24
 
 _STRINGS = T.ArrayType(T.StringType())
 
@@ -81,6 +84,15 @@ def grams(found: list[str]) -> list[str]:
     return sorted({f"  {w} "[i : i + 3] for w in found for i in range(len(w) + 1)})
 
 
+def remnants(text: str, most: int = MOST_SLIPS) -> set[str]:
+    """``text`` without up to ``most`` letters: texts within as many slips have one in common."""
+    every = last = {text}
+    for _ in range(most):
+        last = {t[:i] + t[i + 1 :] for t in last for i in range(len(t))}
+        every = every | last
+    return every
+
+
 def arrangements(name: str) -> list[list[str]]:
     """The orders in which the words of a name are typed: as they are, and rotated."""
     found = [w for w in words(name) if w not in _LINKING]
@@ -152,6 +164,28 @@ def _gram_sets(df: DataFrame, column: str, common: list[str], typed: bool) -> Da
     return df.select(F.col(column).alias("key"), cut_up(column).alias("items"))
 
 
+def _short_pairs(left: DataFrame, right: DataFrame, common: list[str]) -> DataFrame:
+    """Pairs of ``left`` and ``right(key, items)`` whose particular words, run together in some arrangement, may be within ``MOST_SLIPS``, if they are short."""
+    known = set(common)
+
+    def meet(orders: Iterator[list[str]]) -> list[str]:
+        return sorted({r for found in orders if len(text := "".join(found)) <= SHORT + MOST_SLIPS for r in remnants(text)})
+
+    @F.pandas_udf(_STRINGS)
+    def of_typed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: meet(iter([particular(parted(typed_words(t), known), known)])))
+
+    @F.pandas_udf(_STRINGS)
+    def of_name(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda n: meet(particular(order, known) for order in arrangements(n)))
+
+    a = left.select("key", F.explode(of_typed("key")).alias("rest")).select(F.xxhash64("rest").alias("rest"), F.col("key").alias("key_a"))
+    b = right.select("key", F.explode(of_name("key")).alias("rest")).select(F.xxhash64("rest").alias("rest"), F.col("key").alias("key_b"))
+    pairs = a.join(b, "rest").select("key_a", "key_b").distinct()
+    held = pairs.join(left.select(F.col("key").alias("key_a"), F.col("items").alias("items_a")), "key_a").join(right.select(F.col("key").alias("key_b"), F.col("items").alias("items_b")), "key_b")
+    return held.select("key_a", "key_b", F.size(F.array_intersect("items_a", "items_b")).alias("shared"), F.size(F.array_union("items_a", "items_b")).alias("total"))
+
+
 def mapped(gold: DataFrame, items: DataFrame) -> DataFrame:
     """``(gt_id, item_id)``: the entry each typed value means, ``''`` where it means none.
 
@@ -162,9 +196,10 @@ def mapped(gold: DataFrame, items: DataFrame) -> DataFrame:
     values = cut(typed_values(gold))
     names = cut(reference_names(items))
     common = common_words(names)
-    left = _gram_sets(spread(values.select("typed").distinct()), "typed", common, True)
-    right = _gram_sets(names.select("name").distinct(), "name", common, False)
-    near = setjoin.cross_join_above(left, right, AT_LEAST)
+    left = cut(_gram_sets(spread(values.select("typed").distinct()), "typed", common, True))
+    right = cut(_gram_sets(names.select("name").distinct(), "name", common, False))
+    similar = setjoin.cross_join_above(left, right, AT_LEAST).select("key_a", "key_b", "shared", "total")
+    near = similar.unionByName(_short_pairs(left, right, common)).dropDuplicates(["key_a", "key_b"])
     known = set(common)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

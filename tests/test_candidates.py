@@ -50,3 +50,9 @@ def test_registered_queries_use_all_thirty(spark, sf):
     assert found.agg({"pos": "max"}).first()[0] > 4
     assert found.count() == each.count()
     assert annotation.candidate_recall(spark, sf).first()["hit"] == each.where("entity_id = correct_id").count()
+
+
+def test_requests_for_the_cells_of_every_column(spark, sf):
+    asked = annotation.search_request(spark, sf).select("mention")
+    every = annotation.distinct_mentions(spark, sf).select("mention")
+    assert asked.count() == every.count() and every.subtract(asked).isEmpty()

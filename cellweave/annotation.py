@@ -178,7 +178,8 @@ def _top(spark, folder) -> DataFrame:
 
 
 def _found(spark, folder) -> DataFrame:
-    return candidates.cell_candidates(_dataset(spark, folder), _top(spark, folder))
+    data = cut(_dataset(spark, folder))
+    return candidates.cell_candidates(data, candidates.top_candidates(data, _known(spark, folder)))
 
 
 def candidate_topk(spark, folder):
@@ -236,14 +237,19 @@ def _featured(spark, folder) -> DataFrame:
     return features.column_features(cut(_found(spark, folder)), cut(_known(spark, folder)))
 
 
+def _six(value):
+    """Six places, rounded at nine first, so that a half does not depend on the order of a sum."""
+    return F.round(F.round(value, 9), 6)
+
+
 def column_features(spark, folder):
-    rounded = [F.round(c, 6).alias(c) for c in ("lex", "inst", "subc", "descr")]
+    rounded = [_six(F.col(c)).alias(c) for c in ("lex", "inst", "subc", "descr")]
     return _featured(spark, folder).select("tab_id", "row", "col", "pos", "entity_id", *rounded)
 
 
 def feature_vectors(spark, folder):
     vectors = _featured(spark, folder).select("tab_id", "row", "col", "pos", features.feature_vector().alias("v"))
-    return vectors.select("tab_id", "row", "col", "pos", *(F.round(F.col("v")[i], 6).alias(f"f{i}") for i in range(5)))
+    return vectors.select("tab_id", "row", "col", "pos", *(_six(F.col("v")[i]).alias(f"f{i}") for i in range(5)))
 
 
 def label_vectors(spark, folder):

@@ -6,7 +6,7 @@ from cellweave.problems_sql import CLASSES as _CLASSES
 P = "http://kg.tablelink.example/entity/"
 PP = "http://kg.tablelink.example/prop/direct/"
 
-_ONCE = "once AS (SELECT tab_id, row_id, max(col0) AS col0, max(col1) AS col1, max(col2) AS col2, max(col3) AS col3, max(col4) AS col4 FROM table_rows WHERE tab_id IS NOT NULL AND row_id IS NOT NULL GROUP BY 1, 2)"
+_ONCE = "once AS (SELECT tab_id, row_id, col0, col1, col2, col3, col4 FROM table_rows WHERE tab_id IS NOT NULL AND row_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY tab_id, row_id ORDER BY loaded_at DESC NULLS LAST, col0 DESC NULLS LAST, col1 DESC NULLS LAST, col2 DESC NULLS LAST, col3 DESC NULLS LAST, col4 DESC NULLS LAST) = 1)"
 _CELLS = (
     _ONCE
     + ", cells AS ("
@@ -14,15 +14,17 @@ _CELLS = (
     + ")"
 )
 _GOLD = """
-g0 AS (SELECT gt_id, max(tab_id) AS tab_id, max(row_id) AS row_id, max(col_id) AS col_id, max(entity) AS entity FROM cea_gt WHERE gt_id IS NOT NULL GROUP BY 1),
+g0 AS (SELECT gt_id, tab_id, row_id, col_id, entity FROM cea_gt WHERE gt_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY gt_id ORDER BY loaded_at DESC NULLS LAST, tab_id DESC NULLS LAST, row_id DESC NULLS LAST, col_id DESC NULLS LAST, entity DESC NULLS LAST) = 1),
 g1 AS (SELECT gt_id, upper(regexp_extract(tab_id, '([0-9A-Za-z]{8})', 1)) AS tab_id, try_cast(trim(row_id) AS INTEGER) AS "row", try_cast(trim(col_id) AS INTEGER) AS col,
   list_transform(regexp_extract_all(entity, '[Qq]([0-9]+)', 1), lambda x: try_cast(x AS BIGINT)) AS ids FROM g0),
 gold AS (SELECT tab_id, "row", col, arg_max(ids, gt_id) AS ids, arg_max(ids[-1], gt_id) AS correct_id FROM g1
   WHERE tab_id <> '' AND "row" IS NOT NULL AND col IS NOT NULL AND len(ids) > 0 GROUP BY 1, 2, 3)"""
 _DATA = f"WITH {_CELLS}, {_GOLD}, ds AS (SELECT c.*, g.correct_id FROM cells c JOIN gold g USING (tab_id, \"row\", col))"
 _CAT = """
-cat AS (SELECT id, coalesce(max(title), '') AS title, coalesce(max(description), '') AS description, max(list_sort(coalesce(instances, []))) AS instances,
-  max(list_sort(coalesce(subclasses, []))) AS subclasses FROM candidate WHERE id IS NOT NULL GROUP BY id)"""
+cat AS (SELECT id, coalesce(title, '') AS title, coalesce(description, '') AS description, list_sort(coalesce(instances, [])) AS instances, list_sort(coalesce(subclasses, [])) AS subclasses
+  FROM candidate WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id
+  ORDER BY fetched_at DESC NULLS LAST, title DESC NULLS LAST, description DESC NULLS LAST, list_sort(coalesce(instances, [])) DESC, list_sort(coalesce(subclasses, [])) DESC) = 1)"""
 _KNOWN = (
     _CAT
     + """,
@@ -84,12 +86,11 @@ _TOP = (
     + f""",
 asked AS (SELECT mention, unnest({_KEYS.format("mention")}) AS k FROM (SELECT DISTINCT mention FROM ds WHERE mention <> '')),
 posted AS (SELECT id, title, unnest({_KEYS.format("title")}) AS k FROM known WHERE title <> ''),
-rare AS (SELECT k FROM posted GROUP BY k HAVING count(*) <= 40),
-prs AS (SELECT DISTINCT mention, id AS entity_id, title FROM asked JOIN posted USING (k) WHERE k IN (SELECT k FROM rare)),
+prs AS (SELECT DISTINCT mention, id AS entity_id, title FROM asked JOIN posted USING (k)),
 scored AS (SELECT mention, entity_id, {ratio("mention", "title")} AS score FROM prs),
 ranked AS (SELECT mention, entity_id, CAST(row_number() OVER (PARTITION BY mention ORDER BY score DESC, entity_id) - 1 AS INTEGER) AS pos FROM scored)"""
 )
-_FOUND = _TOP + """, found AS (SELECT tab_id, "row", col, correct_id, entity_id, pos FROM ds JOIN ranked USING (mention) WHERE pos < 5)"""
+_FOUND = _TOP + """, found AS (SELECT tab_id, "row", col, correct_id, entity_id, pos FROM ds JOIN ranked USING (mention) WHERE pos < 30)"""
 _PAIRS = """,
 pairs AS (SELECT f.tab_id, f."row", f.col, f.pos, f.entity_id, f.correct_id, o.entity_id AS other_id
   FROM found f JOIN found o ON f.tab_id = o.tab_id AND f.col = o.col AND f.correct_id <> o.correct_id)"""
@@ -159,7 +160,7 @@ b1 AS (SELECT response_id, asked, subset, row_number() OVER (PARTITION BY respon
 b2 AS (SELECT response_id, asked, regexp_replace(subset, '[,:;\\-. ?!]+$', '') AS s FROM b1 WHERE rn = 1)
 SELECT response_id, CASE WHEN ends_with(s, '...') THEN asked ELSE replace(s, chr(8217), '''') END AS best FROM b2""",
     "search_lookup": f"WITH {_CELLS}, {_SEARCH}, ask AS (SELECT mention FROM cells UNION SELECT upper(asked) FROM stored) SELECT mention, response_id, altered FROM ask JOIN stored ON lower(mention) = asked",
-    "search_request": f"WITH {_CELLS} SELECT DISTINCT mention, mention || 'site:www.wikidata.org' AS request FROM cells WHERE col = 0",
+    "search_request": f"WITH {_CELLS} SELECT DISTINCT mention, mention || 'site:www.wikidata.org' AS request FROM cells",
     "entity_parse": f"""WITH {_CAT}, n AS (SELECT id, max(title) AS t, max(description) AS d FROM candidate GROUP BY id)
 SELECT id, title, description, len(instances) + len(subclasses) AS claims FROM cat""",
     "entity_label": f"WITH {_CAT} SELECT id, title FROM cat",
@@ -176,8 +177,8 @@ SELECT coalesce(r.id, c.id) AS id, CASE WHEN r.id IS NOT NULL THEN r.title ELSE
     "instance_overlap_pair": _DATA + ", " + _KNOWN + _NEXT + """SELECT correct_id, next_id, len(list_intersect(list_distinct(a.instances), list_distinct(b.instances))) AS inst,
 len(list_intersect(list_distinct(a.subclasses), list_distinct(b.subclasses))) AS subc FROM nxt JOIN known a ON a.id = correct_id JOIN known b ON b.id = next_id""",
     "context_pairs": _FOUND + _PAIRS + 'SELECT tab_id, "row", col, pos, count(*) AS pairs FROM pairs WHERE entity_id <> other_id GROUP BY 1, 2, 3, 4',
-    "column_features": _FEAT + 'SELECT tab_id, "row", col, pos, entity_id, round(lex, 6) AS lex, round(inst, 6) AS inst, round(subc, 6) AS subc, round(descr, 6) AS descr FROM feat',
-    "feature_vectors": _FEAT + 'SELECT tab_id, "row", col, pos, CAST(entity_id AS DOUBLE) AS f0, round(coalesce(lex, 0), 6) AS f1, round(inst, 6) AS f2, round(subc, 6) AS f3, round(descr, 6) AS f4 FROM feat',
+    "column_features": _FEAT + 'SELECT tab_id, "row", col, pos, entity_id, round(round(lex, 9), 6) AS lex, round(round(inst, 9), 6) AS inst, round(round(subc, 9), 6) AS subc, round(round(descr, 9), 6) AS descr FROM feat',
+    "feature_vectors": _FEAT + 'SELECT tab_id, "row", col, pos, CAST(entity_id AS DOUBLE) AS f0, round(round(coalesce(lex, 0), 9), 6) AS f1, round(round(inst, 9), 6) AS f2, round(round(subc, 9), 6) AS f3, round(round(descr, 9), 6) AS f4 FROM feat',
     "label_vectors": _FOUND + 'SELECT tab_id, "row", col, pos, CASE WHEN entity_id = correct_id THEN 1.0 ELSE 0.0 END::DOUBLE AS label FROM found',
     "best_candidate": _BEST + 'SELECT tab_id, "row", col, correct_id, entity_id FROM best',
     "linking_accuracy": _BEST + """, m AS (SELECT ds.correct_id, b.entity_id FROM ds LEFT JOIN best b USING (tab_id, "row", col)),

@@ -9,9 +9,18 @@ COLUMNS = ("col0", "col1", "col2", "col3", "col4")
 
 
 def rows_once(rows: DataFrame) -> DataFrame:
-    """One row for each (tab_id, row_id): repeated deliveries hold the same cells and are merged by partial aggregation."""
+    """One row for each (tab_id, row_id): the latest delivery as a whole, ties by its cells; merged by partial aggregation.
+
+    Deliveries without ``loaded_at`` come before all others.
+    """
     keyed = rows.where("tab_id is not null and row_id is not null")
-    return keyed.groupBy("tab_id", "row_id").agg(*(F.max(c).alias(c) for c in COLUMNS))
+    latest = keyed.groupBy("tab_id", "row_id").agg(F.max(F.struct(loaded_at(rows), *COLUMNS)).alias("r"))
+    return latest.select("tab_id", "row_id", *(F.col(f"r.{c}").alias(c) for c in COLUMNS))
+
+
+def loaded_at(rows: DataFrame) -> Column:
+    """The time of a delivery; null where the table has no such column."""
+    return F.col("loaded_at") if "loaded_at" in rows.columns else F.lit(None).cast("timestamp").alias("loaded_at")
 
 
 def cells(rows: DataFrame) -> DataFrame:
@@ -27,11 +36,12 @@ def entity_ids(text: Column) -> Column:
 
 
 def gold_cells(gold: DataFrame) -> DataFrame:
-    """``(tab_id, row, col, ids, correct_id)``: gold per cell. Keys lose their other spellings; of several rows of a cell the largest gt_id counts.
+    """``(tab_id, row, col, ids, correct_id)``: gold per cell. Keys lose their other spellings; of several rows of a cell the largest gt_id counts, in its latest delivery.
 
     ``correct_id`` is the last id named; rows without an id, a table id or numeric positions are left out.
     """
-    once = gold.where("gt_id is not null").groupBy("gt_id").agg(*(F.max(c).alias(c) for c in ("tab_id", "row_id", "col_id", "entity")))
+    latest = gold.where("gt_id is not null").groupBy("gt_id").agg(F.max(F.struct(loaded_at(gold), "tab_id", "row_id", "col_id", "entity")).alias("r"))
+    once = latest.select("gt_id", "r.*")
     read = once.select(
         "gt_id",
         F.upper(F.regexp_extract("tab_id", "([0-9A-Za-z]{8})", 1)).alias("tab_id"),

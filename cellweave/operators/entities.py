@@ -60,18 +60,13 @@ def as_json(entities: DataFrame) -> DataFrame:
 
 
 def catalogue(candidates: DataFrame) -> DataFrame:
-    """``(id, title, description, instances, subclasses)``: one row for each id, repeated fetches merged; null texts become ''."""
+    """``(id, title, description, instances, subclasses)``: one row for each id, its latest fetch as a whole, ties by content; null texts become ''."""
     none = F.array().cast("array<bigint>")
-    return (
-        candidates.where("id is not null")
-        .groupBy("id")
-        .agg(
-            F.coalesce(F.max("title"), F.lit("")).alias("title"),
-            F.coalesce(F.max("description"), F.lit("")).alias("description"),
-            F.max(F.array_sort(F.coalesce("instances", none))).alias("instances"),
-            F.max(F.array_sort(F.coalesce("subclasses", none))).alias("subclasses"),
-        )
-    )
+    sets = (F.array_sort(F.coalesce(c, none)).alias(c) for c in ("instances", "subclasses"))
+    when = F.col("fetched_at") if "fetched_at" in candidates.columns else F.lit(None).cast("timestamp").alias("fetched_at")
+    latest = candidates.where("id is not null").groupBy("id").agg(F.max(F.struct(when, "title", "description", *sets)).alias("r"))
+    text = lambda c: F.coalesce(f"r.{c}", F.lit("")).alias(c)
+    return latest.select("id", text("title"), text("description"), "r.instances", "r.subclasses")
 
 
 def with_items(known: DataFrame, items: DataFrame) -> DataFrame:

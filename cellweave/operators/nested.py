@@ -18,10 +18,12 @@ def deliveries(responses: DataFrame) -> DataFrame:
     """One body for each response: the latest delivery that can be parsed, ties by the body's text.
 
     Rows without response id are left out. Bodies that are null, empty, cut off
-    or otherwise not JSON have no row; an object that repeats a key is not accepted.
+    or otherwise not JSON have no row. Where an object repeats a key the last
+    value counts; the session's parser is set to accept such objects.
     """
+    responses.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     # The parser ignores what follows a value; inside both kinds of bracket nothing can follow unnoticed.
-    whole = "try_parse_json(concat('[', body, ']')) is not null and try_parse_json(concat('{\"x\":', body, '}')) is not null and try_parse_json(body) is not null"
+    whole = "try_parse_json(concat('[', body, ']')) is not null and try_parse_json(concat('{\"x\":', body, '}')) is not null"
     good = responses.where("response_id is not null").where(whole).select("response_id", F.struct("received_at", "body").alias("version"))
     latest = good.groupBy("response_id").agg(F.max("version").alias("version"))
     return latest.select("response_id", F.expr("try_parse_json(version.body)").alias("doc"))

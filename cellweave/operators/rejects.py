@@ -25,8 +25,9 @@ RULES = [
 ]
 FIELDS = 4
 #: Reasons in the order in which the first one is reported.
-REASONS = ["quoting", "column_count", "invalid_value"]
-_COMMA = "\x01"
+REASONS = ["quoting", "column_count", "invalid_value", "unknown_feed"]
+#: An escape sign, and what it and a quoted comma are written as while a record is cut.
+_ESCAPE, _SIGN, _COMMA = "\x01", "\x01s", "\x01c"
 
 
 def _with_pieces(record: Column, what: Callable[[Column, Column], Column]) -> Column:
@@ -57,11 +58,13 @@ def cells_of(record: Column) -> Column:
     """The fields of a well-quoted record, without their quotes."""
 
     def cut_up(parts: Column, last: Column) -> Column:
+        swap = lambda c, a, b: F.replace(c, F.lit(a), F.lit(b))
+        escaped = F.transform(parts, lambda s: swap(s, _ESCAPE, _SIGN))
         masked = F.transform(
-            parts,
-            lambda s, i: F.when(i % 2 == 1, F.replace(s, F.lit(","), F.lit(_COMMA))).when((s == "") & (i > 0) & (i < last), F.lit('"')).otherwise(s),
+            escaped,
+            lambda s, i: F.when(i % 2 == 1, swap(s, ",", _COMMA)).when((s == "") & (i > 0) & (i < last), F.lit('"')).otherwise(s),
         )
-        return F.transform(F.split(F.array_join(masked, ""), ",", -1), lambda c: F.replace(c, F.lit(_COMMA), F.lit(",")))
+        return F.transform(F.split(F.array_join(masked, ""), ",", -1), lambda c: swap(swap(c, _COMMA, ","), _SIGN, _ESCAPE))
 
     return _with_pieces(record, cut_up)
 
@@ -89,25 +92,27 @@ def _passes(rule: Column, value: Column) -> Column:
 
 
 def errors(recs: DataFrame) -> DataFrame:
-    """``(line_id, reason)``: the first reason of each line that cannot be loaded."""
+    """``(line_id, reason)``: the first reason of each line that cannot be loaded; a feed without rules, or none, is one of them."""
     rules = recs.sparkSession.createDataFrame(RULES, "feed string, pos int, field string, rule string")
     shape = recs.select("line_id", F.when(~F.col("quoted"), 0).when(F.size("cells") != FIELDS, 1).alias("rank")).where("rank is not null")
     exploded = recs.where(F.col("quoted") & (F.size("cells") == FIELDS)).select("line_id", "feed", F.posexplode("cells").alias("pos", "value"))
-    broken = exploded.join(F.broadcast(rules), ["feed", "pos"]).where(~_passes(F.col("rule"), F.col("value"))).select("line_id", F.lit(2).alias("rank"))
+    ruled = exploded.join(F.broadcast(rules), ["feed", "pos"], "left")
+    rank = F.when(F.col("rule").isNull(), 3).when(~_passes(F.col("rule"), F.col("value")), 2)
+    broken = ruled.select("line_id", rank.alias("rank")).where("rank is not null")
     worst = shape.unionByName(broken).groupBy("line_id").agg(F.min("rank").alias("rank"))
     return worst.select("line_id", F.element_at(F.array(*map(F.lit, REASONS)), F.col("rank") + 1).alias("reason"))
 
 
 def valid_rows(recs: DataFrame, failed: DataFrame) -> DataFrame:
-    """``(line_id, feed, tab_id, row_id, col_id, entity, col0, col1)`` of the lines without error; fields of the other feed are null."""
+    """``(line_id, feed, tab_id, row_id, col_id, entity, col0, col1)`` of the lines without error, all as text; fields of the other feed are null."""
     clean = recs.join(failed.select("line_id"), "line_id", "left_anti")
     cell = lambda feed, i: F.when(F.col("feed") == feed, F.element_at("cells", i + 1))
     return clean.select(
         "line_id",
         "feed",
         F.element_at("cells", 1).alias("tab_id"),
-        F.element_at("cells", 2).cast("decimal(38,0)").alias("row_id"),
-        cell("cea_gt", 2).cast("decimal(38,0)").alias("col_id"),
+        F.element_at("cells", 2).alias("row_id"),
+        cell("cea_gt", 2).alias("col_id"),
         cell("cea_gt", 3).alias("entity"),
         cell("tables", 2).alias("col0"),
         cell("tables", 3).alias("col1"),

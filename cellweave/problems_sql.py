@@ -55,9 +55,10 @@ q AS (SELECT *, regexp_full_match(r, '(?s)("([^"]|"")*"|[^",]*)(,("([^"]|"")*"|[
 f AS (SELECT *, list_transform(regexp_extract_all(r || ',', '(?s)("(?:[^"]|"")*"|[^",]*),', 1),
         lambda x: CASE WHEN x LIKE '"%' THEN replace(x[2:length(x) - 1], '""', '"') ELSE x END) AS c FROM q),
 e AS (SELECT line_id, feed, c, CASE WHEN NOT quoted THEN 'quoting' WHEN len(c) <> 4 THEN 'column_count'
-    WHEN NOT regexp_full_match(c[1], '[0-9A-Z]{8}') OR NOT regexp_full_match(c[2], '[0-9]+') THEN 'invalid_value'
+    WHEN feed IN ('cea_gt', 'tables') AND (NOT regexp_full_match(c[1], '[0-9A-Z]{8}') OR NOT regexp_full_match(c[2], '[0-9]+')) THEN 'invalid_value'
     WHEN feed = 'cea_gt' AND (NOT regexp_full_match(c[3], '[0-9]+') OR trim(c[4], E' \t\n\r ') = '') THEN 'invalid_value'
-    WHEN feed = 'tables' AND NOT regexp_full_match(c[4], '([+-]?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?)?') THEN 'invalid_value' END AS reason FROM f)
+    WHEN feed = 'tables' AND NOT regexp_full_match(c[4], '([+-]?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?)?') THEN 'invalid_value'
+    WHEN feed IS NULL OR feed NOT IN ('cea_gt', 'tables') THEN 'unknown_feed' END AS reason FROM f)
 """
 
 SQL = {
@@ -72,6 +73,6 @@ UNION ALL SELECT r.node, NULL, -1, r.root, u.nxt = r.node AND c.parent = r.root
     **{f"p2_{c}": _P2_ROWS + f" WHERE child = '{c}'" for c in ("query", "page", "link", "hit", "display", "alias")},
     "p5_found": _P5 + "SELECT line_id, reason FROM e WHERE reason IS NOT NULL",
     "p5_valid": _P5
-    + """SELECT line_id, feed, c[1] AS tab_id, CAST(c[2] AS DECIMAL(38,0)) AS row_id, CASE WHEN feed = 'cea_gt' THEN CAST(c[3] AS DECIMAL(38,0)) END AS col_id,
+    + """SELECT line_id, feed, c[1] AS tab_id, c[2] AS row_id, CASE WHEN feed = 'cea_gt' THEN c[3] END AS col_id,
     CASE WHEN feed = 'cea_gt' THEN c[4] END AS entity, CASE WHEN feed = 'tables' THEN c[3] END AS col0, CASE WHEN feed = 'tables' THEN c[4] END AS col1 FROM e WHERE reason IS NULL""",
 }

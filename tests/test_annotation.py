@@ -96,6 +96,8 @@ def test_linear_features_equal_the_pairwise_definition(spark):
     df = spark.createDataFrame(found, "tab_id string, row int, col int, correct_id bigint, entity_id bigint, pos int")
     got = {(r["row"], r["pos"]): (r["inst"], r["subc"], r["descr"], r["lex"]) for r in features.column_features(df, known).collect()}
     assert len(got) == len(found)
+    joined = {(r["row"], r["pos"]): (r["inst"], r["subc"], r["descr"], r["lex"]) for r in features.column_features(df, known, column_rows=3).collect()}
+    assert set(joined) == set(got) and all(joined[k] == pytest.approx(got[k], abs=1e-9) for k in got)
     for _, row, _, k, e, pos in found:
         others = [x[4] for x in found if x[3] != k]
         ti, ts = sum(len(by[o][3]) for o in others), sum(len(by[o][4]) for o in others)
@@ -107,6 +109,28 @@ def test_linear_features_equal_the_pairwise_definition(spark):
         assert got[row, pos] == pytest.approx((inst, subc, desc, lex), abs=1e-9)
 
 
+def test_features_without_truth_entity_or_rows(spark):
+    known = spark.createDataFrame([(1, "a", None, [5, 5, None], None), (2, "", "lake", None, [7])], "id bigint, title string, description string, instances array<bigint>, subclasses array<bigint>")
+    schema = "tab_id string, row int, col int, correct_id bigint, entity_id bigint, pos int"
+    rows = [("t", 1, 0, None, 1, 0), ("t", 1, 0, None, 9, 1), ("t", 2, 0, 2, 2, 0), (None, 1, 0, 8, 1, 0)]
+    got = {(r["tab_id"], r["row"], r["pos"]): r for r in features.column_features(spark.createDataFrame(rows, schema), known).collect()}
+    assert set(got) == {("t", 1, 0), ("t", 2, 0), (None, 1, 0)}  # entity 9 is unknown
+    assert got["t", 1, 0]["lex"] is None and got["t", 2, 0]["lex"] == 1.0 and got[None, 1, 0]["lex"] is None
+    assert features.column_features(spark.createDataFrame([], schema), known).count() == 0
+
+
+def test_latest_delivery_counts_as_a_whole(spark):
+    import datetime
+
+    t = [datetime.datetime(2024, 1, d) for d in (1, 2)]
+    rows = spark.createDataFrame([("T1", 1, "z", None, None, None, None, t[0]), ("T1", 1, "a", "b", None, None, None, t[1])], "tab_id string, row_id int, col0 string, col1 string, col2 string, col3 string, col4 string, loaded_at timestamp")
+    assert sorted(tuple(r) for r in cells.cells(rows).collect()) == [("T1", 1, 0, "a"), ("T1", 1, 1, "b")]
+    gold = spark.createDataFrame([(1, "ABCD1234", "9", "0", "Q9", t[0]), (1, "ABCD1234", "3", "0", "Q1", t[1])], "gt_id bigint, tab_id string, row_id string, col_id string, entity string, loaded_at timestamp")
+    assert [tuple(r) for r in cells.gold_cells(gold).collect()] == [("ABCD1234", 3, 0, [1], 1)]
+    known = spark.createDataFrame([(1, "z", "old", [9], None, t[0]), (1, "a", None, [1], None, t[1])], "id bigint, title string, description string, instances array<bigint>, subclasses array<bigint>, fetched_at timestamp")
+    assert [tuple(r) for r in entities.catalogue(known).collect()] == [(1, "a", "", [1], [])]
+
+
 def test_best_candidate_ties_and_nan(spark):
     rows = [("t", 1, 0, 5, 7, 0, 1.0), ("t", 1, 0, 5, 8, 1, 1.0), ("t", 2, 0, 5, 9, 0, float("nan")), ("t", 2, 0, 5, 3, 1, 0.0), ("t", 3, 0, 5, 3, 1, None)]
     df = spark.createDataFrame(rows, "tab_id string, row int, col int, correct_id bigint, entity_id bigint, pos int, score double")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from cellweave import annotation
@@ -29,6 +30,24 @@ def test_ratios_are_those_of_the_plain_form():
     assert all(got[i, j] == ratio_of(m, t) for i, m in enumerate(mentions) for j, t in enumerate(titles))
 
 
+def test_pair_ratios_are_those_of_the_plain_form():
+    rnd = random.Random(6)
+    word = lambda most: "".join(rnd.choice("abcd é😀\0") for _ in range(rnd.randint(0, most)))
+    left, right = [*(word(64) for _ in range(50)), "", "b" * 70], [*(word(40) for _ in range(50)), "", "a" * 300]
+    i, j = np.array([rnd.randrange(len(left)) for _ in range(900)]), np.array([rnd.randrange(len(right)) for _ in range(900)])
+    assert candidates.pair_ratios(left, right, i, j).tolist() == [ratio_of(left[a], right[b]) for a, b in zip(i, j)]
+    assert len(candidates.pair_ratios([], [], i[:0], j[:0])) == 0
+
+
+def test_mentions_like_their_entity_are_retrieved(spark, sf):
+    """Recall of the cells whose text resembles the title of their entity: the others name it by nothing a text search can find."""
+    folder = sf.replace("sf0.001", "sf0.01")
+    truth = annotation.spell_pairs(spark, folder).distinct().collect()
+    alike = {(r["label"], r["entity_id"]) for r in truth if ratio_of(r["label"].lower(), r["actual_label"].lower()) >= 0.7}
+    top = {(r["mention"], r["entity_id"]) for r in annotation.candidate_topk(spark, folder).collect()}
+    assert len(alike) > 100 and len(alike & top) >= 0.99 * len(alike)
+
+
 @pytest.mark.parametrize("chunk", [4096, 7])
 def test_frequent_keys_keep_their_entities(spark, monkeypatch, chunk):
     """Sixty entities share each key; the exactly spelled one comes first, and the list is that of all pairs."""

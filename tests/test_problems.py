@@ -152,3 +152,17 @@ def test_reject_reasons(spark):
 def test_rejects_of_nothing(spark):
     df = spark.createDataFrame([], "line_id bigint, feed string, line string, received_at timestamp")
     assert rejects.errors(rejects.records(df)).count() == 0
+
+
+def test_rejects_long_digits_control_signs_and_unknown_feeds(spark):
+    lines = [("cea_gt", f"ABCD1234,{'7' * 40},0,x"), ("tables", 'ABCD1234,1,"a\x01b,c",2'), ("tables", "ABCD1234,1,a\x01cb,2"), ("other", "bad,1,2,3"), (None, "ABCD1234,1,2,3"), ("other", "a,b")]
+    df = spark.createDataFrame([(i, f, line, T0) for i, (f, line) in enumerate(lines)], "line_id bigint, feed string, line string, received_at timestamp")
+    recs = rejects.records(df)
+    failed = rejects.errors(recs)
+    assert {r["line_id"]: r["reason"] for r in failed.collect()} == {3: "unknown_feed", 4: "unknown_feed", 5: "column_count"}
+    good = {r["line_id"]: r for r in rejects.valid_rows(recs, failed).collect()}
+    assert good[0]["row_id"] == "7" * 40 and good[1]["col0"] == "a\x01b,c" and good[2]["col0"] == "a\x01cb" and set(good) == {0, 1, 2}
+
+
+def test_nested_repeated_keys_last_value_counts(spark):
+    assert flat(spark, [(1, '{"search":[{"id":"Q1","id":"Q2"}],"searchinfo":{"search":"a"},"searchinfo":{"search":"b"}}')]) == [(1, "hit", 0, -1, "Q2"), (1, "query", -1, -1, "b")]

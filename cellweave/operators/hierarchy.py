@@ -1,10 +1,11 @@
 """Parent-child rows to full hierarchies.
 
-Connected components are found first. Each component of up to ``in_task`` nodes
-is brought to one task and walked depth-first with an explicit stack and node
-colours (white, grey, black); an edge to a grey node closes a cycle. Components
-beyond that bound never enter one task: their parent pointers are doubled by
-joins until every chain has reached its root or its ring.
+Connected components are found first. Components of up to ``in_task`` nodes are
+packed into partitions and walked one after the other, depth-first with an
+explicit stack and node colours (white, grey, black); an edge to a grey node
+closes a cycle, and paths leave the task in small batches. Components beyond
+that bound never enter one task: their parent pointers, and the trails along
+them, are doubled by joins until every chain has reached its root or its ring.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.operators.components import connected_components
-from cellweave.runtime import cut
+from cellweave.runtime import cut, width
 
-_WALKED = "component bigint, node_id bigint, root_id bigint, depth int, path array<bigint>, first bigint, last bigint, back_edge boolean"
+_WALKED = "component bigint, node_id bigint, root_id bigint, depth int, path array<bigint>, back_edge boolean"
+#: Path elements that are held before a batch leaves a task.
+_BATCH = 500_000
 
 
 def class_links(candidates: DataFrame) -> DataFrame:
@@ -33,105 +36,109 @@ def class_links(candidates: DataFrame) -> DataFrame:
 
 
 def walk(nodes: list[int], parents: list[int | None], paths: bool) -> Iterator[tuple]:
-    """Depth-first over one component: ``(node, root, depth, path, first, last, back_edge)`` of every node given.
+    """Depth-first over one component: ``(node, root, depth, path, back_edge)`` of every node given, one by one.
 
-    ``first`` and ``last`` number the nodes in the order of the walk: the
-    descendants of a node are those whose ``first`` lies in its (first, last].
     A node whose chain never ends has depth -1, the smallest id of its ring as
-    no path and no numbers. ``back_edge`` marks the ring node whose parent
-    link leads to that smallest id.
+    root and no path. ``back_edge`` marks the ring node whose parent link leads
+    to that smallest id.
     """
     children: dict[int, list[int]] = {}
-    known = set(nodes)
-    roots = []
-    for node, parent in zip(nodes, parents, strict=True):
-        if parent is None:
-            roots.append(node)
-        else:
+    parent_of = dict(zip(nodes, parents, strict=True))
+    roots = dict.fromkeys(n if p is None else p for n, p in parent_of.items() if p is None or p not in parent_of)
+    for node, parent in parent_of.items():
+        if parent is not None:
             children.setdefault(parent, []).append(node)
-            if parent not in known:
-                roots.append(parent)
-                known.add(parent)
-    own = set(nodes)
-    grey, black = set(), set()
-    number = 0
-    done: dict[int, list] = {}
-    for root in dict.fromkeys(roots):
-        stack = [(root, iter(sorted(children.get(root, ()))))]
+    black: dict[int, int] = {}  # finished nodes and their roots
+    for root in roots:
+        stack = [iter(sorted(children.get(root, ())))]
         trail = [root]
-        grey.add(root)
-        done[root] = [root, root, 0, [root] if paths else None, number, number, False]
-        number += 1
+        black[root] = root
+        if root in parent_of:
+            yield root, root, 0, [root] if paths else None, False
         while stack:
-            node, rest = stack[-1]
-            child = next(rest, None)
+            child = next(stack[-1], None)
             if child is None:
                 stack.pop()
                 trail.pop()
-                grey.discard(node)
-                black.add(node)
-                done[node][5] = number - 1
                 continue
             trail.append(child)
-            grey.add(child)
-            done[child] = [child, root, len(trail) - 1, list(trail) if paths else None, number, number, False]
-            number += 1
-            stack.append((child, iter(sorted(children.get(child, ())))))
-    parent_of = dict(zip(nodes, parents, strict=True))
+            black[child] = root
+            yield child, root, len(trail) - 1, list(trail) if paths else None, False
+            stack.append(iter(sorted(children.get(child, ()))))
     for start in nodes:
         if start in black:
             continue
-        trail, node = [], start
+        trail, grey, node = [], {}, start
         while node not in black and node not in grey:
-            grey.add(node)
+            grey[node] = len(trail)
             trail.append(node)
             node = parent_of[node]
+        closing = None
         if node in grey:  # met on this very trail: a ring
-            ring = trail[trail.index(node) :]
+            ring = trail[grey[node] :]
             root = min(ring)
             closing = ring[ring.index(root) - 1]
         else:
-            root, closing = done[node][1], None
+            root = black[node]
         for x in trail:
-            grey.discard(x)
-            black.add(x)
-            done[x] = [x, root, -1, None, None, None, x == closing]
-    for node in nodes:
-        if node in own:
-            yield tuple(done[node])
+            black[x] = root
+            yield x, root, -1, None, x == closing
 
 
 def _walk_components(paths: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = pdf["node"].tolist()
-        parents = [None if pd.isna(p) else int(p) for p in pdf["parent"]]
-        rows = list(walk(nodes, parents, paths))
-        out = pd.DataFrame(rows, columns=["node_id", "root_id", "depth", "path", "first", "last", "back_edge"])
-        out.insert(0, "component", pdf["component"].iloc[0])
-        for c in ("first", "last"):
-            out[c] = out[c].astype("Int64")
-        return out
+    """The components of one partition, whose rows come sorted by component."""
+
+    def components(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        name, nodes, parents = None, [], []
+        for pdf in batches:
+            known = pdf["parent"].notna().tolist()
+            for component, node, parent, there in zip(pdf["component"].tolist(), pdf["node"].tolist(), pdf["parent"].fillna(0).tolist(), known, strict=True):
+                if component != name:
+                    if nodes:
+                        yield name, nodes, parents
+                    name, nodes, parents = component, [], []
+                nodes.append(node)
+                parents.append(int(parent) if there else None)
+        if nodes:
+            yield name, nodes, parents
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["component", "node_id", "root_id", "depth", "path", "back_edge"]
+        rows, held = [], 0
+        for component, nodes, parents in components(batches):
+            for row in walk(nodes, parents, paths):
+                rows.append((component, *row))
+                held += 1 + len(row[3] or ())
+                if held > _BATCH:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+        yield pd.DataFrame(rows, columns=names)
 
     return run
 
 
-def double(links: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """``(node_id, root_id, depth)`` of ``links(node, parent)`` by pointer doubling, with no bound on component size.
+def double(links: DataFrame, paths: bool = True, max_rounds: int = 64) -> DataFrame:
+    """``(node_id, root_id, depth, path, back_edge)`` of ``links(node, parent)`` by pointer doubling, with no bound on component size.
 
     Chains that have ended leave the join, so a root reached by a third of all
     nodes is no hot key. A chain that has not ended once its jump exceeds the
-    number of nodes is on or above a ring; its last window covers the ring.
+    number of nodes is on or above a ring; its last window covers the ring, and
+    the nodes such chains stand at are the ring. A trail is the chain from where
+    the pointer stands down to the node; it is let go once the chain is known to end in a ring.
     """
     total = links.count()
     heads = links.select(F.col("node").alias("head"))
     start = links.join(heads, F.col("parent") == F.col("head"), "left")
+    up = F.coalesce("parent", "node")
+    trail = F.when(F.col("parent").isNull(), F.array("node")).otherwise(F.array("parent", "node")) if paths else F.lit(None).cast("array<bigint>")
     current = cut(
         start.select(
             "node",
-            F.coalesce("parent", "node").alias("at"),
+            up.alias("at"),
             F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("steps"),
-            F.least("node", F.coalesce("parent", "node")).alias("low"),
+            F.least("node", up).alias("low"),
             F.col("head").isNull().alias("ended"),
+            trail.alias("trail"),
         )
     )
     reach = 1
@@ -139,44 +146,55 @@ def double(links: DataFrame, max_rounds: int = 64) -> DataFrame:
         running = current.where("not ended")
         if reach > total or running.isEmpty():
             break
-        target = current.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("steps").alias("more"), F.col("low").alias("low2"), F.col("ended").alias("end2"))
+        target = current.select(
+            F.col("node").alias("at"), F.col("at").alias("next"), F.col("steps").alias("more"), F.col("low").alias("low2"), F.col("ended").alias("end2"), F.col("trail").alias("above")
+        )
         moved = running.join(target, "at").select(
-            "node", F.col("next").alias("at"), (F.col("steps") + F.col("more")).alias("steps"), F.least("low", "low2").alias("low"), F.col("end2").alias("ended")
+            "node",
+            F.col("next").alias("at"),
+            (F.col("steps") + F.col("more")).alias("steps"),
+            F.least("low", "low2").alias("low"),
+            F.col("end2").alias("ended"),
+            F.concat("above", F.slice("trail", F.lit(2), F.greatest(F.size("trail") - 1, F.lit(0)))).alias("trail"),
         )
         current = cut(current.where("ended").unionByName(moved))
         reach *= 2
-    ring = current.where("not ended").select(F.col("node").alias("at"), F.col("low").alias("ring"))
-    return current.join(ring, "at", "left").select(
+    endless = current.where("not ended")
+    ring = endless.select(F.col("node").alias("at"), F.col("low").alias("ring")).join(endless.select("at").distinct(), "at", "left_semi")
+    named = current.join(ring, "at", "left").join(links.select("node", "parent"), "node").join(ring.select(F.col("at").alias("node"), F.lit(True).alias("on_ring")), "node", "left")
+    root = F.when(F.col("ended"), F.col("at")).otherwise(F.col("ring"))
+    return named.select(
         F.col("node").alias("node_id"),
-        F.when(F.col("ended"), F.col("at")).otherwise(F.col("ring")).alias("root_id"),
+        root.alias("root_id"),
         F.when(F.col("ended"), F.col("steps")).otherwise(-1).cast("int").alias("depth"),
+        F.when(F.col("ended"), F.col("trail")).alias("path"),
+        F.coalesce(F.col("on_ring") & (F.col("parent") == F.col("ring")), F.lit(False)).alias("back_edge"),
     )
 
 
 def hierarchy(links: DataFrame, paths: bool = True, in_task: int = 200_000) -> DataFrame:
-    """``(component, node_id, root_id, depth, path, first, last, back_edge)`` for every node of ``links(node, parent)``.
+    """``(component, node_id, root_id, depth, path, back_edge)`` for every node of ``links(node, parent)``.
 
     ``depth`` counts the links to the root: the first id up the chain that names
-    no parent or has no row of its own. Cycles give depth -1 and the smallest id
-    of the ring. Nodes of components larger than ``in_task`` have null ``path``,
-    ``first``, ``last`` and ``back_edge``, and ``descendants`` has no rows for
-    them. An empty input gives no rows.
+    no parent or has no row of its own. Cycles give depth -1, the smallest id of
+    the ring and no path; ``back_edge`` marks the link that closes a ring at its
+    smallest id. Components larger than ``in_task`` give the same columns by
+    doubling. An empty input gives no rows.
     """
     edges = links.select(F.col("node").alias("a"), F.coalesce("parent", "node").alias("b"))
     member = connected_components(edges).withColumnRenamed("node", "member")
     placed = cut(links.join(member, F.col("node") == F.col("member")).select("component", "node", "parent"))
     sizes = placed.groupBy("component").agg(F.count("*").alias("n"))
     giant = cut(sizes.where(F.col("n") > in_task).select("component"))
-    small = placed.join(giant, "component", "left_anti") if not giant.isEmpty() else placed
-    walked = small.groupBy("component").applyInPandas(_walk_components(paths), _WALKED)
-    if giant.isEmpty():
+    any_giant = not giant.isEmpty()
+    small = placed.join(giant, "component", "left_anti") if any_giant else placed
+    packed = small.repartition(width(links.sparkSession), "component").sortWithinPartitions("component")
+    walked = packed.mapInPandas(_walk_components(paths), _WALKED)
+    if not any_giant:
         return walked
-    rest = placed.join(giant, "component", "left_semi")
-    far = double(rest.select("node", "parent")).join(rest.select("component", F.col("node").alias("node_id")), "node_id")
-    null = lambda name, kind: F.lit(None).cast(kind).alias(name)
-    return walked.unionByName(
-        far.select("component", "node_id", "root_id", "depth", null("path", "array<bigint>"), null("first", "bigint"), null("last", "bigint"), null("back_edge", "boolean"))
-    )
+    rest = cut(placed.join(giant, "component", "left_semi"))
+    far = double(rest.select("node", "parent"), paths).join(rest.select("component", F.col("node").alias("node_id")), "node_id")
+    return walked.unionByName(far.select("component", "node_id", "root_id", "depth", "path", "back_edge"))
 
 
 def descendants(walked: DataFrame) -> DataFrame:

@@ -45,17 +45,19 @@ def test_hierarchy_equals_brute_force(spark):
         want = brute(parent)
         got = {r["node_id"]: (r["root_id"], r["depth"]) for r in hierarchy.hierarchy(links).collect()}
         assert got == want
-        small = {r["node_id"]: (r["root_id"], r["depth"]) for r in hierarchy.hierarchy(links, in_task=5).collect()}
-        assert small == want
+        full = hierarchy.hierarchy(links)
+        doubled = hierarchy.hierarchy(links, in_task=5)
+        rows = lambda df: sorted((tuple(r) for r in df.drop("component").collect()), key=str)
+        assert rows(doubled) == rows(full) and any(r["back_edge"] for r in full.collect())
+        assert rows(hierarchy.descendants(doubled)) == rows(hierarchy.descendants(full))
+        assert {r["node_id"]: (r["root_id"], r["depth"]) for r in hierarchy.hierarchy(links, paths=False, in_task=5).collect()} == want
 
 
-def test_walk_paths_numbers_and_back_edge():
+def test_walk_paths_and_back_edge():
     rows = {r[0]: r for r in hierarchy.walk([1, 2, 3, 4, 7, 8, 9, 10], [None, 1, 2, 1, 9, 7, 8, 7], True)}
-    assert rows[3][1:4] == (1, 2, [1, 2, 3])
-    first, last = rows[1][4], rows[1][5]
-    assert {n for n, r in rows.items() if r[4] is not None and first < r[4] <= last} == {2, 3, 4}
-    assert rows[10][1:3] == (7, -1) and rows[10][6] is False
-    assert [n for n, r in rows.items() if r[6]] == [8]
+    assert rows[3][1:4] == (1, 2, [1, 2, 3]) and rows[4][3] == [1, 4]
+    assert rows[10][1:3] == (7, -1) and rows[10][4] is False and rows[10][3] is None
+    assert [n for n, r in rows.items() if r[4]] == [8]
 
 
 def test_deep_chain_needs_no_recursion():

@@ -4,8 +4,10 @@ A token sequence is the BPE encoding of its bytes exactly when each adjacent
 pair is the encoding of its own concatenation. The nondeterministic transducer
 guesses where tokens end and keeps that pair condition; the deterministic one
 is its subset construction with delayed output. States are built when first
-reached and kept in a table which is dropped when it exceeds ``max_states``
-(results do not depend on it).
+reached and kept in a table which is dropped when it exceeds ``max_states``; the
+memo of short pieces is dropped at twice that (results depend on neither). The pair
+condition is decided from the merges on both sides of the boundary, with one
+table entry for each token of the vocabulary at most.
 
 Vocabulary files are never part of the repository: their folder is a parameter.
 """
@@ -13,8 +15,10 @@ Vocabulary files are never part of the repository: their folder is a parameter.
 from __future__ import annotations
 
 import base64
+import gc
 import os
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import regex
@@ -51,7 +55,7 @@ class _State(dict):
         self.machine = machine
         self.last = last
         self.hypotheses = hypotheses
-        self.final = next((ids for ids, part in hypotheses if not part), None)
+        self.final = next((ids for ids, node in hypotheses if not node), None)
 
     def __missing__(self, byte: int):
         step = self.machine.step(self, byte)
@@ -61,22 +65,38 @@ class _State(dict):
 
 
 class Transducer:
-    """Encoder of one byte-level BPE vocabulary."""
+    """Encoder of one byte-level BPE vocabulary.
+
+    A hypothesis is the ids guessed since the last certain one, and the place in
+    the prefix tree of the vocabulary that the bytes after them lead to.
+    """
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000):
         self.ranks = ranks
         self.max_states = max_states
         self.bytes_of = {i: t for t, i in ranks.items()}
-        self.prefixes = {t[:k] for t in ranks for k in range(1, len(t) + 1)}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
+        self.tree: dict[int, int] = {}  # node * 256 + byte -> node
+        self.token_at = [-1]
+        for token, i in ranks.items():
+            node = 0
+            for byte in token:
+                key = node << 8 | byte
+                node = self.tree.get(key)
+                if node is None:
+                    node = self.tree[key] = len(self.token_at)
+                    self.token_at.append(-1)
+            self.token_at[node] = i
+        self.halves: dict[int, tuple[int, int]] = {}  # at most one entry for each token
+        self.known: dict[str, list[int]] = {}  # the transducer's output for short pieces
+        self.states: dict[tuple, _State] = {}
         self.pattern = regex.compile(PIECES)
         self._clear()
 
     def _clear(self) -> None:
-        self.states: dict[tuple, _State] = {}
-        self.known: dict[str, list[int]] = {}  # the transducer's output for short pieces met since the last clearing
-        self.start = self._state(-1, (((), b""),))
+        for state in self.states.values():
+            state.clear()  # states point at each other: this frees them at once
+        self.states = {}
+        self.start = self._state(-1, (((), 0),))
 
     def _state(self, last: int, hypotheses: tuple) -> _State:
         key = (last, hypotheses)
@@ -86,54 +106,90 @@ class Transducer:
             self.states[key] = found
         return found
 
-    def merged(self, data: bytes) -> list[int]:
-        """The plain definition: merge the adjacent pair of least rank until none is left."""
+    def merged(self, data: bytes, below: int = 1 << 60) -> list[int]:
+        """The plain definition: merge the adjacent pair of least rank until none under ``below`` is left."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            least, at = min(((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))))
-            if least == 1 << 60:
+        ranks = [self.ranks.get(a + b, below) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks:
+            least = min(ranks)
+            if least >= below:
                 break
+            at = ranks.index(least)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at < len(ranks):
+                ranks[at] = self.ranks.get(parts[at] + parts[at + 1], below)
+            if at:
+                ranks[at - 1] = self.ranks.get(parts[at - 1] + parts[at], below)
         return [self.ranks[p] for p in parts]
 
-    def _reachable(self, token: int) -> bool:
-        if token not in self.whole:
-            self.whole[token] = self.merged(self.bytes_of[token]) == [token]
-        return self.whole[token]
+    def _halves(self, token: int) -> tuple[int, int]:
+        """The two tokens whose merge makes ``token``; (-1, -1) for a byte, (-2, -2) for a token that merging never makes."""
+        found = self.halves.get(token)
+        if found is None:
+            data = self.bytes_of[token]
+            parts = self.merged(data, token) if len(data) > 1 else ()
+            found = tuple(parts) if len(parts) == 2 else (-1, -1) if not parts else (-2, -2)
+            self.halves[token] = found
+        return found
 
     def _compatible(self, left: int, right: int) -> bool:
-        if left < 0:
-            return self._reachable(right)
-        key = (left, right)
-        if key not in self.pairs:
-            self.pairs[key] = self._reachable(right) and self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-        return self.pairs[key]
+        """Whether merging keeps the boundary between two tokens.
+
+        The boundary is followed back through the merges of both sides: the
+        pieces beside it exist until the later merge of either is undone, and the
+        boundary is lost when they merge with each other before that. Of equal
+        merges the one further left comes first.
+        """
+        halves = self.halves
+        if (halves.get(right) or self._halves(right))[0] == -2:
+            return False
+        ranks, bytes_of = self.ranks, self.bytes_of
+        until_left = until_right = 1 << 60
+        while left >= 0 and right >= 0:
+            across = ranks.get(bytes_of[left] + bytes_of[right])
+            if across is not None and across < until_left and across <= until_right:
+                return False
+            if left > right:
+                until_left = left
+                left = (halves.get(left) or self._halves(left))[1]
+            else:
+                until_right = right
+                right = (halves.get(right) or self._halves(right))[0]
+        return True
 
     def step(self, state: _State, byte: int) -> tuple[_State, tuple]:
         """The successor of ``state`` under ``byte`` and the ids that all remaining hypotheses share."""
-        after, added = [], bytes((byte,))
-        for ids, part in state.hypotheses:
-            longer = part + added
-            if longer in self.prefixes:
+        after = []
+        tree, token_at = self.tree, self.token_at
+        ended = None  # the bytes so far have one encoding, so one hypothesis ends a token here
+        for ids, node in state.hypotheses:
+            longer = tree.get(node << 8 | byte)
+            if longer is not None:
                 after.append((ids, longer))
-                token = self.ranks.get(longer)
-                if token is not None and self._compatible(ids[-1] if ids else state.last, token):
-                    after.append(((*ids, token), b""))
+                if ended is None and token_at[longer] >= 0:
+                    token = token_at[longer]
+                    if self._compatible(ids[-1] if ids else state.last, token):
+                        ended = (*ids, token)
+        after.append((ended, 0))
+        first = min((ids for ids, _ in after), key=len)
+        if not first:
+            return self._state(state.last, tuple(after)), ()
         shared = 0
-        first = after[0][0]
-        for ids, _ in after[1:]:
-            if len(ids) < len(first):
-                first = ids
-        while shared < len(first) and all(ids[shared] == first[shared] for ids, _ in after):
+        for those in zip(*(ids for ids, _ in after), strict=False):
+            if those.count(those[0]) < len(those):
+                break
             shared += 1
-        out = first[:shared]
-        last = out[-1] if out else state.last
-        return self._state(last, tuple((ids[shared:], part) for ids, part in after)), out
+        if not shared:
+            return self._state(state.last, tuple(after)), ()
+        return self._state(first[shared - 1], tuple([(ids[shared:], node) for ids, node in after])), first[:shared]
 
     def encode(self, text: str) -> list[int]:
         """Ids of one text, without special tokens; ``''`` gives ``[]``."""
         if len(self.states) > self.max_states:
             self._clear()
+        if len(self.known) > 2 * self.max_states:
+            self.known = {}
         known = self.known
         ids: list[int] = []
         extend = ids.extend
@@ -216,6 +272,18 @@ def _machine(raw) -> Transducer:
     return _machines[key]
 
 
+@contextmanager
+def _no_collection() -> Iterator[None]:
+    """Without runs of the cycle collector: it would walk all states again and again, and these are freed by ``_clear``."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def _vocabulary(df: DataFrame, path: str | None):
     """The rank file as a broadcast: its size is that of one published vocabulary (under 1 MB), not of the data."""
     with open(path or os.path.join(TOKENIZER_DIR, VOCABULARY), "rb") as f:
@@ -234,7 +302,8 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _machine(raw)
         for batch in batches:
-            ids = [machine.encode(t) if t else [] for t in batch.column(1).to_pylist()]
+            with _no_collection():
+                ids = [machine.encode(t) if t else [] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
 
     return spread(df.select(key, text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")

@@ -56,6 +56,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def keyed(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by its keys on as many partitions as there are cores or more, for CPU-bound work after a grouping.
+
+    A grouping by the same keys needs no further shuffle, and the adaptive
+    planner doesn't join these partitions into few large ones.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(width(spark), spark.sparkContext.defaultParallelism), *keys)
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellweave.llm import setjoin
-from cellweave.llm.names import plain, shortens, slips, words
+from cellweave.llm.names import remnants, shortens, slips, words
 from cellweave.runtime import cut, spread
 
 #: Similarity of trigram sets from which an entry is verified. A slip costs at most four trigrams, so two leave (n - 8) / (n + 8) of n: enough from 12 on.
@@ -84,15 +84,6 @@ def grams(found: list[str]) -> list[str]:
     return sorted({f"  {w} "[i : i + 3] for w in found for i in range(len(w) + 1)})
 
 
-def remnants(text: str, most: int = MOST_SLIPS) -> set[str]:
-    """``text`` without up to ``most`` letters: texts within as many slips have one in common."""
-    every = last = {text}
-    for _ in range(most):
-        last = {t[:i] + t[i + 1 :] for t in last for i in range(len(t))}
-        every = every | last
-    return every
-
-
 def arrangements(name: str) -> list[list[str]]:
     """The orders in which the words of a name are typed: as they are, and rotated."""
     found = [w for w in words(name) if w not in _LINKING]
@@ -169,7 +160,7 @@ def _short_pairs(left: DataFrame, right: DataFrame, common: list[str]) -> DataFr
     known = set(common)
 
     def meet(orders: Iterator[list[str]]) -> list[str]:
-        return sorted({r for found in orders if len(text := "".join(found)) <= SHORT + MOST_SLIPS for r in remnants(text)})
+        return sorted({r for found in orders if len(text := "".join(found)) <= SHORT + MOST_SLIPS for r in remnants(text, MOST_SLIPS)})
 
     @F.pandas_udf(_STRINGS)
     def of_typed(texts: pd.Series) -> pd.Series:

@@ -62,3 +62,12 @@ def shortens(short: str, word: str) -> bool:
         return False
     rest = iter(word)
     return all(c in rest for c in short)
+
+
+def remnants(text: str, most: int) -> set[str]:
+    """``text`` without up to ``most`` letters: texts within as many slips have one in common."""
+    every = last = {text}
+    for _ in range(most):
+        last = {t[:i] + t[i + 1 :] for t in last for i in range(len(t))}
+        every = every | last
+    return every

@@ -1,17 +1,23 @@
 """Exact similarity joins of sets.
 
-Cells of the metric partition. A pivot is a set {v} of one value. All pivots
-inside a record x are its nearest ones, at Jaccard distance 1 - 1/|x|; they are
-taken in one global order, rarest value first. A record within radius r of x
-has lost at most a few of x's values, so by the triangle inequality two such
-records share one of their first |x| - ceil((1 - r)|x|) + 1 pivots: a record is
-replicated to those cells and to no others, and each cell is joined exactly,
-with the length, positional and distance filters. Pivots drawn from the records
-themselves were measured first and replicate nearly everything to every cell
-(README), for most pairs of records here are at distance 0.9 or more.
-
-A cell whose number of members exceeds ``cell_rows`` is split: one side is
-salted, the other replicated to the salts, so no task holds the whole cell.
+Two joins live here. ``cross_join_above`` is the prefix-filter join of two
+collections: values in one global order, rarest first; only the first values of
+each set meet; length, position and distance are checked on what has met.
+
+``self_join`` partitions the records of one collection by pivots under the
+Jaccard distance. A part of the records, chosen by hash, are pivots; a record
+within ``cover`` of one has its home with the nearest, and the rest, which lie
+far from every pivot, become pivots themselves, each of a cell of radius 0. Let
+R be the largest distance of a home record to its pivot. By the triangle
+inequality a record within r of a home record lies within R + r of the pivot, and
+it is copied to that cell; to no other. Distances to pivots come from the pivots' inverted
+index, so far pivots are never looked at. Inside a cell the pairs are compared
+exactly. A pair of which one record has its home with a chosen pivot is found in
+that cell; the pairs of two others lie in each other's cells of radius 0, where
+the distance to the pivot is that of the pair.
+
+A value that more than ``cell_rows`` sets hold is split: one side is salted, the
+other copied to the salts, so no task holds all its sets.
 """
 
 from __future__ import annotations
@@ -52,7 +58,7 @@ def _cells(records: DataFrame, at_least: Fraction, side: str) -> DataFrame:
 def _joined(left: DataFrame, right: DataFrame, counts: DataFrame, at_least: Fraction, cell_rows: int, own: bool) -> DataFrame:
     """``(key_a, key_b, shared, total)`` of all pairs of at least that similarity, each once."""
     p, q = at_least.numerator, at_least.denominator
-    hot = counts.where(F.col("df") > cell_rows).select("token", F.least(F.ceil(F.col("df") / cell_rows), F.lit(1024)).cast("int").alias("salts"))
+    hot = counts.where(F.col("df") > cell_rows).select("token", F.ceil(F.col("df") / cell_rows).cast("int").alias("salts"))
     a = _cells(left, at_least, "a").join(hot, "token", "left")
     b = _cells(right, at_least, "b").join(hot, "token", "left")
     a = a.withColumn("salt", F.pmod(F.xxhash64("key_a"), F.coalesce("salts", F.lit(1)))).drop("salts")
@@ -68,14 +74,61 @@ def _joined(left: DataFrame, right: DataFrame, counts: DataFrame, at_least: Frac
     return met.select("key_a", "key_b", shared.alias("shared"), (na + nb - shared).alias("total")).where(F.col("shared") * q >= F.col("total") * p)
 
 
+#: One record in so many is chosen as a pivot.
+PIVOT_EVERY = 16
+
+
+def pivot_cells(records: DataFrame, counts: DataFrame, at_least: Fraction, cell_rows: int = 20_000, every: int = PIVOT_EVERY) -> tuple[DataFrame, DataFrame]:
+    """``(pivot, key, toks, home)``: the members of the cells of chosen pivots, and ``(key, toks)``: the records far from all of these.
+
+    With r = 1 - ``at_least``, a record has its home with the nearest chosen pivot
+    within the cover distance, the lesser of r and (1 - r) / 2, ties to the
+    smaller pivot, and is copied to every cell of radius R whose pivot is within
+    R + r of it.
+    """
+    r = 1 - at_least
+    cover = min(r, (1 - r) / 2)
+    chosen = F.pmod(F.xxhash64("key"), F.lit(every)) == 0
+    pivots = records.where(chosen)
+    near = _joined(records, pivots, counts, 1 - r - cover, cell_rows, own=False).select(
+        F.col("key_a").alias("key"), F.col("key_b").alias("pivot"), (F.col("total") - F.col("shared")).alias("apart"), "total"
+    )
+    near = cut(near)  # a pivot meets itself at distance 0
+    within = F.col("apart") * cover.denominator <= F.col("total") * cover.numerator
+    distance = F.col("apart") / F.col("total")
+    homes = cut(near.where(within).groupBy("key").agg(F.min(F.struct(distance.alias("d"), "pivot")).alias("h")).select("key", F.col("h.pivot").alias("pivot"), F.col("h.d").alias("d")))
+    radius = homes.groupBy("pivot").agg(F.max("d").alias("radius"))
+    copied = near.join(radius, "pivot").where(distance <= F.col("radius") + float(r) + 1e-9).select("pivot", "key")
+    members = copied.join(homes.select("key", F.col("pivot").alias("home_pivot")), "key", "left").select("pivot", "key", F.coalesce(F.col("home_pivot") == F.col("pivot"), F.lit(False)).alias("home"))
+    placed = members.join(records.select("key", "toks"), "key")
+    far = records.join(homes.select("key"), "key", "left_anti")
+    return placed, far
+
+
 def self_join(sets: DataFrame, at_least: Fraction, cell_rows: int = 20_000) -> DataFrame:
-    """Pairs within ``sets(key, items)`` with Jaccard similarity of ``at_least`` or more: ``(key_a, key_b, shared, total)``, ``key_a < key_b``.
+    """Pairs within ``sets(key, items)`` with Jaccard similarity of ``at_least`` (1/2 or more), each once: ``(key_a, key_b, shared, total)``, ``key_a < key_b``.
 
     ``items`` must be distinct within a set; keys must be unique. Empty and null sets pair with nothing.
     """
     counts = cut(token_counts(sets))
     records = cut(ordered(sets, counts))
-    return _joined(records, records, counts, at_least, cell_rows, own=True)
+    placed, far = pivot_cells(records, counts, at_least, cell_rows)
+    placed = cut(placed)
+    crowd = placed.groupBy("pivot").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows).select("pivot", F.ceil(F.col("n") / cell_rows).cast("int").alias("salts"))
+    side = lambda df, s: df.select("pivot", F.col("key").alias(f"key_{s}"), F.col("toks").alias(f"toks_{s}"), F.col("home").alias(f"home_{s}"))
+    salts = F.coalesce("salts", F.lit(1))
+    a = side(placed.where("home"), "a").join(crowd, "pivot", "left").withColumn("salt", F.pmod(F.xxhash64("key_a"), salts).cast("int")).drop("salts")
+    b = side(placed, "b").join(crowd, "pivot", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    # Of two home records the pair is taken once, from the smaller; of a home record and a copy once as well, unless the copy's own cell gives it.
+    met = a.join(b, ["pivot", "salt"]).where("key_a <> key_b and (not home_b or key_a < key_b)")
+    na, nb = F.size("toks_a"), F.size("toks_b")
+    p, q = at_least.numerator, at_least.denominator
+    shared = F.size(F.array_intersect("toks_a", "toks_b"))
+    exact = met.where((na * q >= nb * p) & (nb * q >= na * p)).select(
+        F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"), shared.alias("shared"), (na + nb - shared).alias("total")
+    ).where(F.col("shared") * q >= F.col("total") * p)
+    lone = cut(far)
+    return exact.unionByName(_joined(lone, lone, counts, at_least, cell_rows, own=True)).dropDuplicates(["key_a", "key_b"])
 
 
 def cross_join_above(left: DataFrame, right: DataFrame, at_least: Fraction, cell_rows: int = 20_000) -> DataFrame:

@@ -13,16 +13,18 @@ entity.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweave.llm.names import plain, shortens, slips, words
-from cellweave.runtime import cut, spread
+from cellweave.llm.names import plain, remnants, shortens, slips, words
+from cellweave.runtime import cut, keyed
 
 # Legal forms, titles and linking words as people type them.
 LEGAL = {"ltd", "limited", "inc", "incorporated", "gmbh", "sa", "ag", "llc", "plc", "corp"}
@@ -34,7 +36,7 @@ RADIUS = 1
 #: A word in fewer of the labels is not shared: at most the words of a label over this part are, whatever the number of labels.
 SHARED_PART = 0.0005
 #: Spellings in one cell, and pivots of one block at most: what is broadcast is bounded by blocks x pivots.
-CELL_SPELLINGS = 10_000
+CELL_SPELLINGS = 1_000
 MOST_PIVOTS = 256
 
 
@@ -79,47 +81,85 @@ def true_distance(a: str, b: str) -> int:
     return table[-1][-1]
 
 
-def _kind_of(word: str, lexicon: Lexicon) -> frozenset:
-    """The organisation kinds a word can stand for."""
-    if word in lexicon.kinds:
-        return frozenset((word,))
-    if word in lexicon.short_kind:
-        return frozenset(lexicon.short_kind[word])
-    if word in lexicon.given or word in lexicon.short_given or word in TITLES:
-        return frozenset()
-    if 3 <= len(word) <= 7:
-        short = {k for k in lexicon.kinds if shortens(word, k) and len(k) >= 5 and word[:2] == k[:2]} or {
-            k for k in lexicon.kinds if shortens(word, k) and len(k) >= 5 and len(word) >= 5
-        }
-        if short:
-            return frozenset(short)
-    if len(word) >= 5:
-        near = {k for k in lexicon.kinds if len(k) >= 5 and slips(word, k, 1 if len(k) < 7 else 2) <= (1 if len(k) < 7 else 2)}
-        return frozenset(near)
-    return frozenset()
-
-
-def _given_of(word: str, lexicon: Lexicon) -> str | None:
-    """The full given name a word stands for, if it is one."""
-    if word in lexicon.short_given:
-        return lexicon.short_given[word]
-    if word in lexicon.given:
-        return word
-    if len(word) >= 4:
-        near = sorted(g for g in lexicon.given if len(g) >= 4 and slips(word, g, 1) <= 1)
-        if near:
-            return lexicon.short_given.get(near[0], near[0])
-    return None
-
-
-def read(label: str, lexicon: Lexicon) -> Name | None:
+def _near(words_: frozenset, most: int) -> dict[str, list[str]]:
+    """The words by what is left of them without up to ``most`` letters: two words within ``most`` slips have one such rest in common."""
+    rests: dict[str, list[str]] = {}
+    for w in sorted(words_):
+        for rest in remnants(w, most):
+            rests.setdefault(rest, []).append(w)
+    return rests
+
+
+class Reader:
+    """Reads labels; what a word can stand for is worked out once and kept for the last words met."""
+
+    KEPT = 200_000
+
+    def __init__(self, lexicon: Lexicon):
+        self.lexicon = lexicon
+        self.long_kinds = frozenset(k for k in lexicon.kinds if len(k) >= 5)
+        self.near_kinds = _near(self.long_kinds, 2)
+        self.near_given = _near(frozenset(g for g in lexicon.given if len(g) >= 4), 1)
+        self.kinds: dict[str, frozenset] = {}
+        self.givens: dict[str, str | None] = {}
+
+    def kind_of(self, word: str) -> frozenset:
+        """The organisation kinds a word can stand for."""
+        found = self.kinds.get(word)
+        if found is None:
+            if len(self.kinds) > self.KEPT:
+                self.kinds = {}
+            found = self.kinds[word] = frozenset(self._kind_of(word))
+        return found
+
+    def _kind_of(self, word: str):
+        lexicon = self.lexicon
+        if word in lexicon.kinds:
+            return (word,)
+        if word in lexicon.short_kind:
+            return lexicon.short_kind[word]
+        if word in lexicon.given or word in lexicon.short_given or word in TITLES:
+            return ()
+        if 3 <= len(word) <= 7:
+            short = {k for k in self.long_kinds if shortens(word, k)}
+            short = {k for k in short if word[:2] == k[:2]} or (short if len(word) >= 5 else ())
+            if short:
+                return short
+        if len(word) >= 5:
+            near = {k for rest in remnants(word, 2) for k in self.near_kinds.get(rest, ())}
+            return {k for k in near if slips(word, k, 1 if len(k) < 7 else 2) <= (1 if len(k) < 7 else 2)}
+        return ()
+
+    def given_of(self, word: str) -> str | None:
+        """The full given name a word stands for, if it is one."""
+        if word not in self.givens:
+            if len(self.givens) > self.KEPT:
+                self.givens = {}
+            self.givens[word] = self._given_of(word)
+        return self.givens[word]
+
+    def _given_of(self, word: str) -> str | None:
+        lexicon = self.lexicon
+        if word in lexicon.short_given:
+            return lexicon.short_given[word]
+        if word in lexicon.given:
+            return word
+        if len(word) >= 4:
+            near = {g for rest in remnants(word, 1) for g in self.near_given.get(rest, ())}
+            near = sorted(g for g in near if slips(word, g, 1) <= 1)
+            if near:
+                return lexicon.short_given.get(near[0], near[0])
+        return None
+
+
+def read(label: str, reader: Reader) -> Name | None:
     """A label as a name; None if it has no letter or digit."""
     text = plain(label)
     found = words(text)
     if not found:
         return None
     bare = [w for w in words(_DOTTED.sub(" ", text)) if w not in LINKING and w not in LEGAL]
-    kinds = [(w, _kind_of(w, lexicon)) for w in bare]
+    kinds = [(w, reader.kind_of(w)) for w in bare]
     core = [w for w, k in kinds if not k]
     if core and len(core) < len(bare) and (max(map(len, core)) > 2):
         options = sorted({k for _, ks in kinds for k in ks})
@@ -128,7 +168,7 @@ def read(label: str, lexicon: Lexicon) -> Name | None:
     before, comma, _ = text.partition(",")
     head = [w for w in words(before) if w not in TITLES] if comma else []
     full = [w for w in named if len(w) > 1]
-    strange = [w for w in full if _given_of(w, lexicon) is None]
+    strange = [w for w in full if reader.given_of(w) is None]
     in_head = [w for w in head if len(w) > 1]
     if in_head and len(in_head) < len(named):
         surname = next((w for w in reversed(in_head) if w in strange), in_head[-1])
@@ -140,7 +180,7 @@ def read(label: str, lexicon: Lexicon) -> Name | None:
     left.reverse()
     left.remove(surname)
     left.reverse()
-    given = [_given_of(w, lexicon) or w for w in left]
+    given = [reader.given_of(w) or w for w in left]
     first = given[0] if given else ""
     return Name("p" + first[:1], surname, first, " ".join(given[1:]))
 
@@ -156,7 +196,7 @@ def lexicon_of(labels: DataFrame, forms: DataFrame) -> Lexicon:
     def of_label(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: sorted(set(words(_DOTTED.sub(" gmbh ", plain(t))))))
 
-    rows = cut(spread(labels.where("text is not null").select(of_label("text").alias("w"))))
+    rows = cut(labels.where("text is not null").select(of_label("text").alias("w")))
     marked = rows.select("w", F.arrays_overlap("w", F.array(*map(F.lit, sorted(LEGAL | {"of", "the"})))).cast("int").alias("firm"))
     counts = cut(marked.select(F.explode("w").alias("word"), "firm").where("length(word) >= 3").groupBy("word").agg(F.count("*").alias("n"), F.avg("firm").alias("firm")))
     pairs = rows.select(F.explode("w").alias("word"), "w").select("word", F.explode("w").alias("other")).where("word <> other and length(word) >= 3 and length(other) >= 4")
@@ -202,81 +242,129 @@ def read_labels(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
     known = rows.sparkSession.sparkContext.broadcast(lexicon)  # bounded: see lexicon_of
 
     @F.pandas_udf(_NAME)
-    def reader(texts: pd.Series) -> pd.DataFrame:
-        read_once: dict = {}
-        out = []
-        for t in texts:
-            if t not in read_once:
-                read_once[t] = (read(t, known.value) if t else None) or (None,) * 4
-            out.append(read_once[t])
-        return pd.DataFrame(out, columns=list(Name._fields))
-
-    return spread(rows).select("*", reader("label").alias("name"), reader("actual_label").alias("other"))
-
-
-def _pivots(spellings: DataFrame) -> dict[str, list[str]]:
-    """Pivots of each block, chosen by hash among its spellings: one for every CELL_SPELLINGS, at most about MOST_PIVOTS."""
+    def reader(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        state = Reader(known.value)
+        for texts in batches:
+            out = [(read(t, state) if t else None) or (None,) * 4 for t in texts]
+            yield pd.DataFrame(out, columns=list(Name._fields))
+
+    return rows.select("*", reader("label").alias("name"), reader("actual_label").alias("other"))
+
+
+def distances(spellings: list[str], pivot: str) -> np.ndarray:
+    """``true_distance`` of each spelling to one pivot, over whole arrays."""
+    size = np.array([len(w) for w in spellings], np.int64)
+    top, m, n = int(size.max(initial=0)), len(pivot), len(spellings)
+    sign = {c: i for i, c in enumerate(sorted(set(pivot)))}
+    other = len(sign)
+    codes = np.full((top, n), other, np.int16)
+    for r, w in enumerate(spellings):
+        codes[: len(w), r] = [sign.get(c, other) for c in w]
+    table = np.zeros((m + 1, top + 1, n), np.int16)
+    table[:, 0] = np.arange(m + 1)[:, None]
+    table[0] = np.arange(top + 1)[:, None]
+    last = np.zeros(other + 1, np.int16)  # row in which a sign of the pivot was met last
+    for i, c in enumerate(pivot, 1):
+        before = np.zeros(n, np.int16)  # place in the spelling where this sign was met last
+        for j in range(1, top + 1):
+            same = codes[j - 1] == sign[c]
+            best = np.minimum(table[i - 1, j - 1] + ~same, np.minimum(table[i - 1, j], table[i, j - 1]) + 1)
+            row = last[codes[j - 1]]
+            some = np.flatnonzero((row > 0) & (before > 0))
+            if len(some):
+                r, b = row[some], before[some]
+                best[some] = np.minimum(best[some], table[r - 1, b - 1, some] + (i - r) + (j - b) - 1)
+            table[i, j] = best
+            before[same] = j
+        last[sign[c]] = i
+    return table[m, size, np.arange(n)]
+
+
+def _pivots(spellings: DataFrame) -> dict[str, tuple[list[str], int]]:
+    """Pivots of each block, chosen by hash among its spellings: one for every CELL_SPELLINGS, at most about MOST_PIVOTS; and the number of parts each cell is split into beyond that."""
     sizes = spellings.groupBy("block").agg(F.count("*").alias("n"), F.min("core").alias("least"))
     every = F.greatest(F.lit(1), F.ceil(F.col("n") / F.least(F.lit(MOST_PIVOTS), F.ceil(F.col("n") / CELL_SPELLINGS))))
     chosen = spellings.select("block", "core").join(sizes, "block").where((F.col("core") == F.col("least")) | (F.pmod(F.xxhash64("core"), every) == 0) & (F.col("n") > CELL_SPELLINGS))
-    out: dict[str, list[str]] = {}
-    for r in chosen.select("block", "core").collect():
-        out.setdefault(r[0], []).append(r[1])
-    return {b: sorted(p) for b, p in out.items()}
+    out: dict[str, tuple[list[str], int]] = {}
+    for r in chosen.select("block", "core", F.ceil(F.col("n") / (MOST_PIVOTS * CELL_SPELLINGS)).cast("int").alias("parts")).orderBy("block", "core").collect():
+        out.setdefault(r[0], ([], r[2]))[0].append(r[1])
+    return out
 
 
 def within_radius(spellings: DataFrame) -> DataFrame:
-    """``(block, core, near)``: spellings of one block at distance 1, both ways; input ``(block, core)``, distinct."""
+    """``(block, core, near)``: spellings of one block within the radius, both ways; input ``(block, core)``, distinct.
+
+    A spelling's home is the cell of its nearest pivot. It is also put into every
+    cell whose pivot is at most twice the radius further than that, for no
+    spelling within the radius can have its home in another one. The cells of a
+    block with more spellings than all its pivots can take are split further, by
+    what is left of a spelling without one letter.
+    """
     pivots = spellings.sparkSession.sparkContext.broadcast(_pivots(spellings))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for block, core in zip(pdf["block"], pdf["core"], strict=True):
-                marks = pivots.value[block]
+            for block, some in pdf.groupby("block")["core"]:
+                marks, parts = pivots.value[block]
+                cores = some.to_numpy()
                 if len(marks) == 1:
-                    out.append((block, 0, core, True))
-                    continue
-                far = [true_distance(core, p) for p in marks]
-                home = far.index(min(far))
-                out += [(block, i, core, i == home) for i, d in enumerate(far) if d <= far[home] + 2 * RADIUS]
-            yield pd.DataFrame(out, columns=["block", "cell", "core", "home"])
-
-    cells = spellings.select("block", "core").mapInPandas(assign, "block string, cell int, core string, home boolean")
-    return cells.groupBy("block", "cell").applyInPandas(_cell_join, "block string, core string, near string").distinct()
+                    at, who, home = np.zeros(len(cores), int), np.arange(len(cores)), np.ones(len(cores), bool)
+                else:
+                    far = np.array([distances(cores.tolist(), p) for p in marks])
+                    nearest = far.argmin(0)
+                    at, who = np.nonzero(far <= far.min(0) + 2 * RADIUS)
+                    home = at == nearest[who]
+                out = pd.DataFrame({"block": block, "cell": at, "part": 0, "core": cores[who], "home": home})
+                if parts > 1:
+                    split = [sorted({zlib.crc32(r.encode()) % parts for r in remnants(c, 1)}) for c in out["core"]]
+                    out = out.assign(part=split).explode("part").astype({"part": "int64"})
+                yield out
+
+    cells = spellings.select("block", "core").mapInPandas(assign, "block string, cell int, part int, core string, home boolean")
+    return cells.groupBy("block", "cell", "part").applyInPandas(_cell_join, "block string, core string, near string").distinct()
 
 
 def _cell_join(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Exact radius-1 join of one cell: spellings that meet in a one-letter deletion, confirmed by the metric."""
+    """Exact join of one cell at the radius: spellings that share what is left without one letter are compared under the metric."""
     block = pdf["block"].iloc[0]
     meet: dict[str, list[int]] = {}
     cores, homes = pdf["core"].tolist(), pdf["home"].tolist()
     for i, core in enumerate(cores):
-        for form in {core, *(core[:k] + core[k + 1 :] for k in range(len(core)))}:
+        for form in remnants(core, RADIUS):
             meet.setdefault(form, []).append(i)
-    pairs = set()
+    seen, both = set(), set()
     for members in meet.values():
-        for x in members:
-            if homes[x]:
-                for y in members:
-                    if x != y and (x, y) not in pairs and slips(cores[x], cores[y], RADIUS) <= RADIUS:
-                        pairs.add((x, y))
-    both = {(cores[x], cores[y]) for x, y in pairs} | {(cores[y], cores[x]) for x, y in pairs}
+        if len(members) > 1:
+            for x in members:
+                if homes[x]:
+                    for y in members:
+                        if x != y and (x, y) not in seen:
+                            seen.add((x, y))
+                            seen.add((y, x))
+                            if true_distance(cores[x], cores[y]) <= RADIUS:
+                                both.add((cores[x], cores[y]))
+                                both.add((cores[y], cores[x]))
     return pd.DataFrame([(block, a, b) for a, b in both], columns=["block", "core", "near"])
 
 
-def leaning(spellings: DataFrame, rounds: int = 4) -> DataFrame:
-    """``(block, core, center)`` of ``spellings(block, core, n)``: each leans on its best supported neighbour, if that is better supported than itself."""
+def leaning(spellings: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """``(block, core, center)`` of ``spellings(block, core, n)``: each leans on its best supported neighbour, if that is better supported than itself.
+
+    Leaning is followed, doubling each time, until no center changes: support grows along it, so it ends.
+    """
     near = within_radius(spellings)
     rated = near.join(spellings.select("block", F.col("core").alias("near"), F.col("n").alias("near_n")), ["block", "near"])
     best = rated.groupBy("block", "core").agg(F.max(F.struct("near_n", "near")).alias("best"))
     own = F.struct(F.col("n").alias("near_n"), F.col("core").alias("near"))
     lean = F.when(F.col("best") > own, F.col("best.near")).otherwise(F.col("core"))
     current = cut(spellings.join(best, ["block", "core"], "left").select("block", "core", lean.alias("center")))
-    for _ in range(rounds):
+    for _ in range(max_rounds):
         target = current.select("block", F.col("core").alias("center"), F.col("center").alias("next"))
-        current = current.join(target, ["block", "center"]).select("block", "core", F.col("next").alias("center"))
-    return cut(current)
+        moved = cut(current.join(target, ["block", "center"]).select("block", "core", F.col("next").alias("center"), (F.col("center") != F.col("next")).alias("moved")))
+        current = moved.drop("moved")
+        if moved.where("moved").isEmpty():
+            return current
+    raise RuntimeError("leaning did not end")
 
 
 def entities(rows: DataFrame, forms: DataFrame) -> DataFrame:
@@ -287,7 +375,8 @@ def entities(rows: DataFrame, forms: DataFrame) -> DataFrame:
     Repeated ids count once. An initial that fits several given names of one
     surname goes to the most frequent of them, ties to the alphabetically first.
     """
-    once = rows.where("val_id is not null").groupBy("val_id").agg(F.min(F.struct("label", "actual_label")).alias("r")).select("val_id", "r.label", "r.actual_label")
+    once = keyed(rows.where("val_id is not null"), "val_id").groupBy("val_id").agg(F.min(F.struct("label", "actual_label")).alias("r")).select("val_id", "r.label", "r.actual_label")
+    once = cut(once)
     texts = once.select(F.explode(F.array("label", "actual_label")).alias("text"))
     lexicon = lexicon_of(texts, forms)
     named = cut(read_labels(once, lexicon).where("name.core is not null"))

@@ -22,6 +22,25 @@ def test_self_join_equals_brute_force(spark):
             assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_pivot_cells_hold_what_the_bounds_say(spark):
+    rnd = random.Random(21)
+    base = [sorted(rnd.sample(range(60), 8)) for _ in range(12)]
+    sets = {i: sorted({*rnd.choice(base)} - {rnd.randrange(60)} | {rnd.randrange(60)}) for i in range(150)}
+    df = spark.createDataFrame(list(sets.items()), "key bigint, items array<bigint>")
+    counts = setjoin.token_counts(df)
+    placed, far = setjoin.pivot_cells(setjoin.ordered(df, counts), counts, Fraction(4, 5), every=4)
+    rows, lone = placed.collect(), {r["key"] for r in far.collect()}
+    far_from = lambda a, b: 1 - len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]})
+    pivots = {r["pivot"] for r in rows}
+    homes = {r["key"]: r["pivot"] for r in rows if r["home"]}
+    assert len(homes) > len(pivots) > 1 and set(homes) | lone == set(sets) and not set(homes) & lone
+    for key, pivot in homes.items():
+        assert far_from(key, pivot) <= 0.2 + 1e-9 and far_from(key, pivot) == min(far_from(key, p) for p in pivots)
+    radius = {p: max(far_from(k, p) for k, h in homes.items() if h == p) for p in pivots}
+    assert {(r["pivot"], r["key"]) for r in rows} == {(p, k) for p in pivots for k in sets if far_from(k, p) <= radius[p] + 0.2 + 1e-9}
+    assert all(min(far_from(k, p) for p in pivots) > 0.2 for k in lone)
+
+
 def test_two_sided_join_equals_brute_force(spark):
     rnd = random.Random(10)
     left = {f"a{i}": sorted(rnd.sample("abcdefghij", rnd.randrange(1, 6))) for i in range(60)}
@@ -117,9 +136,26 @@ def test_radius_join_equals_brute_force(spark, monkeypatch):
     rnd = random.Random(13)
     words = sorted({"".join(rnd.choice("abcd") for _ in range(rnd.randrange(3, 7))) for _ in range(150)})
     df = spark.createDataFrame([("p", w) for w in words], "block string, core string")
-    assert len(variants._pivots(df)["p"]) > 2
-    got = {(r["core"], r["near"]) for r in variants.within_radius(df).collect()}
-    assert got == {(a, b) for a in words for b in words if a != b and variants.true_distance(a, b) <= 1}
+    want = {(a, b) for a in words for b in words if a != b and variants.true_distance(a, b) <= 1}
+    for most in (256, 3):  # with few pivots the cells are split
+        monkeypatch.setattr(variants, "MOST_PIVOTS", most)
+        assert len(variants._pivots(df)["p"][0]) > 2 and (variants._pivots(df)["p"][1] > 1) == (most == 3)
+        assert {(r["core"], r["near"]) for r in variants.within_radius(df).collect()} == want
+
+
+def test_distances_to_a_pivot_are_those_of_the_plain_form():
+    rnd = random.Random(14)
+    words = ["".join(rnd.choice("abcé") for _ in range(rnd.randrange(9))) for _ in range(300)]
+    for pivot in words[:40]:
+        assert variants.distances(words, pivot).tolist() == [variants.true_distance(w, pivot) for w in words]
+    assert variants.distances([], "a").tolist() == []
+
+
+def test_leaning_follows_long_chains(spark):
+    """Forty spellings, each a slip from the next and less supported."""
+    words = ["a" * i + "b" * (40 - i) for i in range(41)]
+    df = spark.createDataFrame([("p", w, 100 - i) for i, w in enumerate(words)], "block string, core string, n bigint")
+    assert {r["center"] for r in variants.leaning(df).collect()} == {words[0]}
 
 
 GROUPS = [

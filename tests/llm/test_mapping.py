@@ -1,13 +1,13 @@
 """Two slips in a short particular word."""
 
 from cellweave.llm import mapping
-from cellweave.llm.names import slips
+from cellweave.llm.names import remnants, slips
 
 
 def test_two_slips_leave_a_remnant():
     for a, b in (("rodrokeke", "rodorkee"), ("rirojijan", "rroijjan"), ("abcdefgh", "badcefgh"), ("abc", "abc")):
         if slips(a, b, 2) <= 2:
-            assert mapping.remnants(a) & mapping.remnants(b)
+            assert remnants(a, 2) & remnants(b, 2)
 
 
 def test_two_exchanges_in_a_short_word_are_mapped(spark):

@@ -70,10 +70,15 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return textform.same_look(table(spark, folder, "documents"))
 
 
+def p10_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each document: the class of its look, and the number of documents it is linked to."""
+    return textform.look_classes(table(spark, folder, "documents"))
+
+
 def p10_text(spark: SparkSession, folder: str) -> DataFrame:
     return textform.canonical_text(table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_classes, p4_found, p4_report, p6_found, p6_entities, p7_found, p7_unmatched, p8_ids, p8_decoded, p9_found, p9_items, p10_found, p10_text)
+    f.__name__: f for f in (p3_found, p3_classes, p4_found, p4_report, p6_found, p6_entities, p7_found, p7_unmatched, p8_ids, p8_decoded, p9_found, p9_items, p10_found, p10_classes, p10_text)
 }

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.runtime import spread
+from cellweave.runtime import cut, spread
 
 # Letters of other scripts that print like a Latin letter, and that letter.
 LOOK_ALIKES = dict(
@@ -157,9 +157,18 @@ def same_look(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     before the pairing, with partial aggregation, so a group of exact copies,
     however large, is never joined with itself. Keys may repeat.
     """
-    keyed = look_keys(df, key, text)
+    keyed = cut(look_keys(df, key, text))
     several = keyed.groupBy("look").agg(F.min("raw").alias("low"), F.max("raw").alias("high")).where("low <> high").select("look")
     kept = keyed.join(several, "look", "left_semi").distinct()
     a = kept.select("look", F.col("raw").alias("raw_a"), F.col(key).alias("doc_a"))
     b = kept.select("look", F.col("raw").alias("raw_b"), F.col(key).alias("doc_b"))
     return a.join(b, "look").where("raw_a <> raw_b and doc_a < doc_b").select("doc_a", "doc_b").distinct()
+
+
+def look_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, class, links)``: one row for each document with a visible character: its look, named by the smallest key, and how many documents look the same but differ in characters."""
+    keyed = cut(look_keys(df, key, text).where(F.col(key).isNotNull()).distinct())
+    forms = keyed.groupBy("look", "raw").agg(F.count("*").alias("same"), F.min(key).alias("low"))
+    looks = forms.groupBy("look").agg(F.sum("same").alias("all"), F.min("low").alias("class"))
+    counted = forms.join(looks, "look").select("look", "raw", "class", (F.col("all") - F.col("same")).alias("links"))
+    return keyed.join(counted, ["look", "raw"]).select(key, "class", "links")

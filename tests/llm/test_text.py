@@ -90,6 +90,7 @@ def test_same_look_pairs(spark):
     df = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id bigint, text string, look string")
     assert sorted(tuple(r) for r in textform.same_look(df).collect()) == [(1, 2), (2, 3), (9, 10)]
     assert textform.same_look(df.limit(0)).count() == 0
+    assert {tuple(r) for r in textform.look_classes(df).collect()} == {(1, 1, 1), (2, 1, 2), (3, 1, 1), (4, 4, 0), (9, 9, 1), (10, 9, 1)}
     assert {r["doc_id"]: r["text"] for r in textform.canonical_text(df).where("doc_id in (5, 6)").collect()} == {5: None, 6: ""}
 
 
@@ -118,6 +119,15 @@ def test_leaks(spark):
     q = spark.createDataFrame(items, "item_id bigint, text string")
     want = sorted((d, i) for d in (1, 3, 4, 7, 8) for i in (10, 14))
     assert sorted(tuple(r) for r in leakage.leaked(d, q).collect()) == want
-    assert sorted(tuple(r) for r in leakage.leaked(d, q, items_in_block=1).collect()) == want
+    assert sorted(tuple(r) for r in leakage.leaked(d, q, broadcast_runs=0).collect()) == want
+    assert leakage.leaked(d.limit(0), q, broadcast_runs=0).count() == 0
     assert leakage.leaked(d, q.limit(0)).count() == 0 and leakage.leaked(d.limit(0), q).count() == 0
     assert {r["item_id"]: r["documents"] for r in leakage.leak_report(leakage.leaked(d, q)).collect()} == {10: 5, 14: 5}
+
+
+def test_both_forms_of_the_leakage_search_agree(spark, sf):
+    docs, items = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "eval_item"))
+    one, other = (sorted(tuple(r) for r in leakage.leaked(docs, items, broadcast_runs=n).collect()) for n in (10**9, 0))
+    assert one == other and one
+    long = "é🙂ab" * 9
+    assert leakage.window_hashes(long, 5).tolist() == [leakage.window_hashes(long[i : i + 5], 5)[0] for i in range(len(long) - 4)]

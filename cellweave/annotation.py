@@ -291,6 +291,21 @@ def spellcheck_accuracy_hard(spark, folder):
     return _spelling(spark, folder, True)
 
 
+def _suggester(spark, folder, only_hard):
+    """The suggester scored on the gold cells: its suggestion for the mention against the label of the entity."""
+    pairs = spell_pairs(spark, folder)
+    scored = pairs.join(_suggested(spark, folder).withColumnRenamed("mention", "label"), "label", "left")
+    return linking.spelling_accuracy(scored, F.coalesce("suggestion", "label"), only_hard=only_hard)
+
+
+def suggestion_accuracy(spark, folder):
+    return _suggester(spark, folder, False)
+
+
+def suggestion_accuracy_hard(spark, folder):
+    return _suggester(spark, folder, True)
+
+
 def uri_normalise(spark, folder):
     rows = table(spark, folder, "cta_gt").where("type is not null")
     parts = rows.select("tab_id", "col_id", F.explode(F.split(F.trim("type"), r"\s+")).alias("type")).distinct()
@@ -395,6 +410,6 @@ _ALL = (
     description_cosine, indel_ratio, title_subsets, title_distance, best_title_match, search_lookup, search_request, entity_parse, entity_label, entity_lookup,
     claims_flatten, instances_subclasses, validate_response, candidate_topk, correct_candidate, candidate_recall, fetch_completeness, distinct_mentions, variant_union,
     merge_dict, instance_overlap_pair, context_pairs, column_features, feature_vectors, label_vectors, best_candidate, linking_accuracy, spell_pairs, spellcheck_accuracy,
-    spellcheck_accuracy_hard, uri_normalise, cea_eval, cpa_eval, cta_eval, eval_leaderboard, html_unescape, best_suggestion, ner_labels, train_score, feature_importance,
+    spellcheck_accuracy_hard, suggestion_accuracy, suggestion_accuracy_hard, uri_normalise, cea_eval, cpa_eval, cta_eval, eval_leaderboard, html_unescape, best_suggestion, ner_labels, train_score, feature_importance,
 )
 QUERIES = {f.__name__: f for f in _ALL} | {"suggestion": suggestions}

@@ -197,22 +197,35 @@ s AS (SELECT count(*) AS n, CAST(sum((lower(gold) = lower(ann))::INT) AS DOUBLE)
 _TEXT = "json_type({0}, '$.{1}') = 'VARCHAR'"
 _HIT_FIELDS = "['id', 'title', 'pageid', 'display', 'repository', 'url', 'concepturi', 'label', 'description', 'match', 'aliases']"
 _INT = "('BIGINT', 'UBIGINT')"
+
+
+def _only(value: str, path: str, *names: str) -> str:
+    """Whether there is an object at a path with no other fields than those."""
+    return f"(coalesce(json_type({value}, '$.{path}'), '') = 'OBJECT' AND len(list_filter(json_keys({value}, '$.{path}'), lambda k: NOT list_contains({list(names)}, k))) = 0)"
+
+
+def _said(value: str, path: str) -> str:
+    """Whether there is a text with its language at a path."""
+    return f"({_only(value, path, 'value', 'language')} AND coalesce({_TEXT.format(value, path + '.value')} AND {_TEXT.format(value, path + '.language')}, false))"
+
+
 SQL["validate_response"] = (
     f"WITH d AS (SELECT response_id, max_by(CAST(body AS JSON), (received_at, body)) AS doc FROM raw_response WHERE endpoint = 'kg' AND response_id IS NOT NULL AND json_valid(body) GROUP BY 1), "
     + f"""r AS (SELECT response_id, CASE WHEN json_type(doc) <> 'OBJECT' THEN 'not an object'
   WHEN len(list_filter(json_keys(doc), lambda k: k NOT IN ('searchinfo', 'search', 'search_continue', 'success'))) > 0 THEN 'unknown field'
-  WHEN coalesce(json_type(doc, '$.searchinfo.search'), '') <> 'VARCHAR' THEN 'searchinfo'
+  WHEN NOT ({_only('doc', 'searchinfo', 'search')} AND coalesce({_TEXT.format('doc', 'searchinfo.search')}, false)) THEN 'searchinfo'
   WHEN coalesce(json_type(doc, '$.search'), '') <> 'ARRAY' THEN 'search'
   WHEN json_type(doc, '$.search_continue') NOT IN {_INT} THEN 'search_continue'
   WHEN coalesce(try_cast(doc->>'$.success' AS INTEGER), 0) <> 1 THEN 'success' END AS top,
   CASE WHEN json_type(doc, '$.search') = 'ARRAY' THEN CAST(doc->'$.search' AS JSON[]) ELSE [] END AS hits FROM d),
 h AS (SELECT response_id, top, list_filter(list_transform(hits, lambda h: CASE
+  WHEN coalesce(json_type(h), '') <> 'OBJECT' THEN 'hit: not an object'
   WHEN len(list_filter(json_keys(h), lambda k: NOT list_contains({_HIT_FIELDS}, k))) > 0 THEN 'hit: unknown field'
   WHEN NOT coalesce({" AND ".join(_TEXT.format("h", c) for c in ("id", "title", "repository", "url", "concepturi", "label"))}, false) THEN 'hit: text field'
   WHEN coalesce(json_type(h, '$.pageid'), '') NOT IN {_INT} THEN 'hit: pageid'
   WHEN h->>'$.repository' <> 'kgdata' THEN 'hit: repository'
-  WHEN NOT coalesce({_TEXT.format("h", "display.label.value")} AND {_TEXT.format("h", "display.label.language")}, false) THEN 'hit: display'
-  WHEN coalesce(h->>'$.match.type', '') NOT IN ('label', 'alias') THEN 'hit: match'
+  WHEN NOT ({_only('h', 'display', 'label', 'description')} AND {_said('h', 'display.label')} AND (json_type(h, '$.display.description') IS NULL OR {_said('h', 'display.description')})) THEN 'hit: display'
+  WHEN NOT ({_only('h', 'match', 'type', 'language', 'text')} AND coalesce(h->>'$.match.type', '') IN ('label', 'alias') AND coalesce({_TEXT.format('h', 'match.language')} AND {_TEXT.format('h', 'match.text')}, false)) THEN 'hit: match'
   WHEN json_type(h, '$.description') <> 'VARCHAR' THEN 'hit: description'
   WHEN json_type(h, '$.aliases') IS NOT NULL AND (json_type(h, '$.aliases') <> 'ARRAY' OR len(list_filter(CAST(h->'$.aliases' AS JSON[]), lambda a: json_type(a) <> 'VARCHAR')) > 0) THEN 'hit: aliases' END),
   lambda x: x IS NOT NULL) AS broken FROM r)
@@ -272,3 +285,11 @@ SQL["variant_union"] = (
     + f""", {_GOLD}, ds AS (SELECT c.*, g.correct_id FROM cells c JOIN gold g USING (tab_id, "row", col))
 SELECT tab_id, "row", col, 'raw' AS variant, mention FROM ds UNION ALL SELECT tab_id, "row", col, 'spell', coalesce(suggestion, mention) FROM ds LEFT JOIN v USING (mention)"""
 )
+
+for _name, _where in (("suggestion_accuracy", ""), ("suggestion_accuracy_hard", " WHERE label <> actual_label")):
+    SQL[_name] = (
+        _suggestion()
+        + f""", {_GOLD}, {_KNOWN}, ds AS (SELECT c.*, g.correct_id FROM cells c JOIN gold g USING (tab_id, "row", col)),
+pr AS (SELECT mention AS label, title AS actual_label, coalesce(suggestion, mention) AS said FROM ds JOIN known ON id = correct_id LEFT JOIN v USING (mention))
+SELECT count(*) AS total, count(*) FILTER (WHERE lower(said) = lower(actual_label)) AS correct, round(100.0 * count(*) FILTER (WHERE lower(said) = lower(actual_label)) / nullif(count(*), 0), 2) AS accuracy FROM pr{_where}"""
+    )

@@ -168,15 +168,26 @@ def best_title_match(queries: pd.Series, titles: pd.Series) -> pd.Series:
 
 
 # Entity types of the recogniser and their numbers.
-ENTITY_TYPES = dict(
-    zip(
-        "PERSON NORP FAC ORG GPE LOC PRODUCT EVENT WORK_OF_ART LAW LANGUAGE DATE TIME PERCENT MONEY QUANTITY ORDINAL CARDINAL".split(),
-        range(1, 19),
-        strict=True,
-    )
-)
-# Claim value types and their numbers.
-CLAIM_TYPES = {"STRING": 1, "TIME": 2, "ENTITY": 3, "QUANTITY": 4, "LEXEME": 5, "PROPERTY": 6, "UNKNOWN": 10}
+ENTITY_TYPES = {
+    "PERSON": 1,
+    "NORP": 2,
+    "FAC": 3,
+    "ORG": 4,
+    "GPE": 5,
+    "LOC": 6,
+    "PRODUCT": 7,
+    "EVENT": 8,
+    "WORK_OF_ART": 9,
+    "LAW": 10,
+    "LANGUAGE": 11,
+    "DATE": 12,
+    "TIME": 13,
+    "PERCENT": 14,
+    "MONEY": 15,
+    "QUANTITY": 16,
+    "ORDINAL": 17,
+    "CARDINAL": 18,
+}
 
 _RULES = {
     "PERCENT": r"\d\s?%|\bpercent\b",

@@ -253,3 +253,42 @@ def test_stream_skips_what_is_done(spark, tmp_path):
         spark.createDataFrame(rows, args["schema"]).coalesce(1).write.mode("append").parquet(src)
         increments.process_new_rows(spark, **args).awaitTermination()
     assert sorted((r["tab_id"], r["row_id"]) for r in spark.read.parquet(args["output"]).collect()) == [("a", 1), ("b", 1)]
+
+
+HIT = '{"id":"Q1","title":"t","pageid":1,"display":{"label":{"value":"v","language":"en"}},"repository":"wikidata","url":"u","concepturi":"c","label":"l","match":{"type":"label","language":"en","text":"x"}%s}'
+ANSWER = '{"searchinfo":{"search":"s"},"search":[%s],"success":1%s}'
+
+
+def test_strict_validation(spark):
+    from cellweave.operators import validation
+
+    hit = HIT % ""
+    cases = [
+        (ANSWER % (hit, ""), None),
+        (ANSWER % ("", ',"search_continue":7'), None),
+        (ANSWER % (HIT % ',"description":"d","aliases":["a"]', ""), None),
+        (ANSWER % (HIT % ',"aliases":[]', ""), None),
+        (ANSWER % (hit, ',"more":1'), "unknown field"),
+        (ANSWER.replace('{"search":"s"}', '{"search":"s","x":1}') % (hit, ""), "searchinfo"),
+        (ANSWER % (hit, ',"search_continue":"7"'), "search_continue"),
+        (ANSWER.replace(":1%s", ":2%s") % (hit, ""), "success"),
+        (ANSWER % ("5", ""), "hit: not an object"),
+        (ANSWER % (HIT % ',"x":1', ""), "hit: unknown field"),
+        (ANSWER % (hit.replace('"url":"u"', '"url":null'), ""), "hit: text field"),
+        (ANSWER % (hit.replace('"pageid":1', '"pageid":"1"'), ""), "hit: pageid"),
+        (ANSWER % (hit.replace("wikidata", "other"), ""), "hit: repository"),
+        (ANSWER % (hit.replace('"language":"en"}}', '"language":"en","x":1}}'), ""), "hit: display"),
+        (ANSWER % (hit.replace('"language":"en"}}', '"language":"en"},"x":1}'), ""), "hit: display"),
+        (ANSWER % (hit.replace('"language":"en"}}', '"language":"en"},"description":"d"}'), ""), "hit: display"),
+        (ANSWER % (hit.replace('"language":"en"}}', '"language":"en"},"description":{"value":"d","language":null}}'), ""), "hit: display"),
+        (ANSWER % (hit.replace('"text":"x"', '"text":1'), ""), "hit: match"),
+        (ANSWER % (hit.replace('"text":"x"', '"text":"x","y":1'), ""), "hit: match"),
+        (ANSWER % (hit.replace('"type":"label"', '"type":"title"'), ""), "hit: match"),
+        (ANSWER % (HIT % ',"description":null', ""), "hit: description"),
+        (ANSWER % (HIT % ',"aliases":["a",null]', ""), "hit: aliases"),
+        (ANSWER % (HIT % ',"aliases":"a"', ""), "hit: aliases"),
+        ("[]", "not an object"),
+    ]
+    docs = spark.createDataFrame([(i, body) for i, (body, _) in enumerate(cases)], "response_id int, body string").select("response_id", F.expr("parse_json(body)").alias("doc"))
+    got = {r["response_id"]: r["reason"] for r in validation.validated(docs).collect()}
+    assert got == {i: why for i, (_, why) in enumerate(cases)}

@@ -1,12 +1,14 @@
 """Typed values to the entries of a reference list.
 
 Values and names are cut into padded trigrams of their particular words (the
-words that many names share, and abbreviations of them, carry no signal and are
-left out). A prefix-filter join ordered by global rarity finds the entries whose
-trigrams overlap by their exact Jaccard similarity. In short words two slips can
-leave almost no trigram, so short texts also meet in what is left of their
-particular words without up to two letters. Each hit is verified by the slips between the typed text and every arrangement of the entry's words.
-The entry with the fewest slips is kept.
+words that many names share, and slips and abbreviations of them, carry no
+signal and are left out; a code of letters and digits is one word). A
+prefix-filter join ordered by global rarity finds the entries whose trigrams
+overlap by their exact Jaccard similarity. In short words two slips can leave
+almost no trigram, so short texts also meet in what is left of their particular
+words without up to two letters. Each hit is verified by the slips between the
+typed text and every arrangement of the entry's words. The entry with the fewest slips is kept, of several the one
+of greatest similarity.
 """
 
 from __future__ import annotations
@@ -22,14 +24,14 @@ from pyspark.sql import types as T
 
 from cellweave.llm import setjoin
 from cellweave.llm.names import remnants, shortens, slips, words
-from cellweave.runtime import cut, spread
+from cellweave.runtime import cut, keyed
 
-#: Similarity of trigram sets from which an entry is verified. A slip costs at most four trigrams, so two leave (n - 8) / (n + 8) of n: enough from 12 on.
-AT_LEAST = Fraction(1, 5)
+#: Similarity of trigram sets from which an entry is verified. A slip costs at most four trigrams, so two leave (n - 8) / (n + 8) of n: enough from 24 on.
+AT_LEAST = Fraction(1, 2)
 #: A word of this share of all names or more is common.
 COMMON_SHARE = 0.02
 MOST_SLIPS = 2
-#: Letters up to which particular words also meet by deletions; longer ones have 12 trigrams and more.
+#: Letters up to which particular words also meet by deletions; longer ones have more than 24 trigrams.
 SHORT = 24
 
 _STRINGS = T.ArrayType(T.StringType())
@@ -73,14 +75,27 @@ def parted(found: list[str], common: set[str]) -> list[str]:
     return out
 
 
-def particular(found: list[str], common: set[str]) -> list[str]:
-    """The words that are no common word, no abbreviation or slip of one."""
-    left = [w for w in found if w not in common and not any(len(w) <= 4 and shortens(w, c) or len(w) > 4 and slips(w, c, 1) <= 1 for c in common)]
+def stands_for_common(word: str, common: set[str]) -> bool:
+    """Whether a word is an abbreviation or a slip of a common one; long words may have two slips."""
+    return any(len(word) <= 4 and shortens(word, c) or len(word) > 4 and slips(word, c, 2 if len(c) >= 8 else 1) <= (2 if len(c) >= 8 else 1) for c in common)
+
+
+def particular(found: list[str], common: set[str], known: dict[str, bool] | None = None) -> list[str]:
+    """The words that are no common word, no abbreviation or slip of one; ``known`` keeps what was worked out for a word."""
+    known = {} if known is None else known
+    if len(known) > 200_000:
+        known.clear()
+    for w in found:
+        if w not in known:
+            known[w] = w not in common and not stands_for_common(w, common)
+    left = [w for w in found if known[w]]
     return left or [w for w in found if w not in common] or found
 
 
 def grams(found: list[str]) -> list[str]:
-    """Distinct padded trigrams, word by word."""
+    """Distinct padded trigrams, word by word; words with a digit among them are one code."""
+    if any(c.isdigit() for w in found for c in w):
+        found = ["".join(found)]
     return sorted({f"  {w} "[i : i + 3] for w in found for i in range(len(w) + 1)})
 
 
@@ -145,33 +160,37 @@ def typed_values(gold: DataFrame) -> DataFrame:
     return text.where(~F.col("typed").rlike(r"(?U)\A[\s\p{Cf}]*\z") & ~F.col("typed").rlike("[Qq][0-9]"))
 
 
-def _gram_sets(df: DataFrame, column: str, common: list[str], typed: bool) -> DataFrame:
-    known = set(common)
-
-    @F.pandas_udf(_STRINGS)
-    def cut_up(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: grams(particular(parted(typed_words(t), known) if typed else [w for w in words(t) if w not in _LINKING], known)))
+_SHAPE = T.StructType([T.StructField("items", _STRINGS), T.StructField("rests", _STRINGS)])
 
-    return df.select(F.col(column).alias("key"), cut_up(column).alias("items"))
 
+def _shapes(df: DataFrame, column: str, common: list[str], typed: bool) -> DataFrame:
+    """``(key, items, rests)``: trigrams of the particular words, and what is left of them, run together in some arrangement, without up to ``MOST_SLIPS`` letters, if they are short. Both as hashes."""
+    shared = set(common)
 
-def _short_pairs(left: DataFrame, right: DataFrame, common: list[str]) -> DataFrame:
-    """Pairs of ``left`` and ``right(key, items)`` whose particular words, run together in some arrangement, may be within ``MOST_SLIPS``, if they are short."""
-    known = set(common)
+    def orders(text: str) -> list[list[str]]:
+        return [parted(typed_words(text), shared)] if typed else arrangements(text)
 
-    def meet(orders: Iterator[list[str]]) -> list[str]:
-        return sorted({r for found in orders if len(text := "".join(found)) <= SHORT + MOST_SLIPS for r in remnants(text, MOST_SLIPS)})
+    @F.pandas_udf(_SHAPE)
+    def shape(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known: dict[str, bool] = {}
+        for texts in batches:
+            items, rests = [], []
+            for text in texts:
+                left = [particular(found, shared, known) for found in orders(text)]
+                items.append(grams(left[0]))
+                short = ("".join(found) for found in left)
+                rests.append(sorted({r for t in short if len(t) <= SHORT + MOST_SLIPS for r in remnants(t, MOST_SLIPS)}))
+            yield pd.DataFrame({"items": items, "rests": rests})
 
-    @F.pandas_udf(_STRINGS)
-    def of_typed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: meet(iter([particular(parted(typed_words(t), known), known)])))
+    made = df.select(F.col(column).alias("key"), shape(column).alias("s"))
+    hashed = lambda c: F.transform(f"s.{c}", lambda x: F.xxhash64(x)).alias(c)
+    return made.select("key", hashed("items"), hashed("rests"))
 
-    @F.pandas_udf(_STRINGS)
-    def of_name(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda n: meet(particular(order, known) for order in arrangements(n)))
 
-    a = left.select("key", F.explode(of_typed("key")).alias("rest")).select(F.xxhash64("rest").alias("rest"), F.col("key").alias("key_a"))
-    b = right.select("key", F.explode(of_name("key")).alias("rest")).select(F.xxhash64("rest").alias("rest"), F.col("key").alias("key_b"))
+def _short_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of short ``left`` and ``right(key, items, rests)`` that have a rest in common."""
+    a = left.select(F.col("key").alias("key_a"), F.explode("rests").alias("rest"))
+    b = right.select(F.col("key").alias("key_b"), F.explode("rests").alias("rest"))
     pairs = a.join(b, "rest").select("key_a", "key_b").distinct()
     held = pairs.join(left.select(F.col("key").alias("key_a"), F.col("items").alias("items_a")), "key_a").join(right.select(F.col("key").alias("key_b"), F.col("items").alias("items_b")), "key_b")
     return held.select("key_a", "key_b", F.size(F.array_intersect("items_a", "items_b")).alias("shared"), F.size(F.array_union("items_a", "items_b")).alias("total"))
@@ -187,10 +206,10 @@ def mapped(gold: DataFrame, items: DataFrame) -> DataFrame:
     values = cut(typed_values(gold))
     names = cut(reference_names(items))
     common = common_words(names)
-    left = cut(_gram_sets(spread(values.select("typed").distinct()), "typed", common, True))
-    right = cut(_gram_sets(names.select("name").distinct(), "name", common, False))
+    left = cut(_shapes(keyed(values.select("typed"), "typed").distinct(), "typed", common, True))
+    right = cut(_shapes(keyed(names.select("name"), "name").distinct(), "name", common, False))
     similar = setjoin.cross_join_above(left, right, AT_LEAST).select("key_a", "key_b", "shared", "total")
-    near = similar.unionByName(_short_pairs(left, right, common)).dropDuplicates(["key_a", "key_b"])
+    near = similar.unionByName(_short_pairs(left, right)).dropDuplicates(["key_a", "key_b"])
     known = set(common)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -394,13 +394,23 @@ def best_suggestion(spark, folder):
 
 def ner_labels(spark, folder):
     rows = entities.catalogue(table(spark, folder, "candidate"))
-    return rows.select("id", text.entity_labels(F.col("title"), F.col("description")).alias("labels"))
+    labels = text.entity_labels(F.col("title"), F.col("description"))
+    return rows.select("id", F.array_join(labels.cast("array<string>"), " ").alias("labels"))
 
 
 def train_score(spark, folder):
     return models.train_score(_featured(spark, folder))
 
 
+def grid_search(spark, folder):
+    """A small grid over loss and depth, scored by cell accuracy; a parameter of ``models.tuned`` makes it any grid."""
+    rows = models.fit_rows(cut(models.labelled(_featured(spark, folder))))
+    if rows.isEmpty():
+        return spark.createDataFrame([], "setting string, accuracy double")
+    found = models.tuned(cut(rows), {"lossType": ["squared", "absolute"], "maxDepth": [2, 4]}, folds=2, model=models.boosted(rounds=3))
+    return spark.createDataFrame(models.grid_scores(found), "setting string, accuracy double")
+
+
 def feature_importance(spark, folder):
     return models.feature_importance(_featured(spark, folder))
 
@@ -410,6 +420,6 @@ _ALL = (
     description_cosine, indel_ratio, title_subsets, title_distance, best_title_match, search_lookup, search_request, entity_parse, entity_label, entity_lookup,
     claims_flatten, instances_subclasses, validate_response, candidate_topk, correct_candidate, candidate_recall, fetch_completeness, distinct_mentions, variant_union,
     merge_dict, instance_overlap_pair, context_pairs, column_features, feature_vectors, label_vectors, best_candidate, linking_accuracy, spell_pairs, spellcheck_accuracy,
-    spellcheck_accuracy_hard, suggestion_accuracy, suggestion_accuracy_hard, uri_normalise, cea_eval, cpa_eval, cta_eval, eval_leaderboard, html_unescape, best_suggestion, ner_labels, train_score, feature_importance,
+    spellcheck_accuracy_hard, suggestion_accuracy, suggestion_accuracy_hard, uri_normalise, cea_eval, cpa_eval, cta_eval, eval_leaderboard, html_unescape, best_suggestion, ner_labels, train_score, feature_importance, grid_search,
 )
 QUERIES = {f.__name__: f for f in _ALL} | {"suggestion": suggestions}

@@ -1,6 +1,6 @@
 """SQL twins of the queries in ``annotation``. The pairwise definitions are used here where the library has a faster form."""
 
-from cellweave.functions.text import PUNCTUATION, STOP_WORDS
+from cellweave.functions.text import ENTITY_RULES, ENTITY_TYPES, PUNCTUATION, STOP_WORDS
 from cellweave.problems_sql import CLASSES as _CLASSES
 
 P = "http://kg.tablelink.example/entity/"
@@ -293,3 +293,8 @@ for _name, _where in (("suggestion_accuracy", ""), ("suggestion_accuracy_hard",
 pr AS (SELECT mention AS label, title AS actual_label, coalesce(suggestion, mention) AS said FROM ds JOIN known ON id = correct_id LEFT JOIN v USING (mention))
 SELECT count(*) AS total, count(*) FILTER (WHERE lower(said) = lower(actual_label)) AS correct, round(100.0 * count(*) FILTER (WHERE lower(said) = lower(actual_label)) / nullif(count(*), 0), 2) AS accuracy FROM pr{_where}"""
     )
+
+_UNESCAPED = "regexp_replace(replace(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;?', '&', 'g')"
+SQL["html_unescape"] = _TITLES + f"SELECT response_id, pos, {_UNESCAPED} AS title FROM titles"
+_matched = ", ".join(f"CASE WHEN regexp_matches(lower(title || ' - ' || description), '{rule}') THEN {ENTITY_TYPES[name]} END" for name, rule in ENTITY_RULES.items())
+SQL["ner_labels"] = f"WITH {_CAT} SELECT id, array_to_string(list_sort(list_filter([{_matched}], lambda x: x IS NOT NULL)), ' ') AS labels FROM cat"

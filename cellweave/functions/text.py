@@ -6,6 +6,7 @@ import difflib
 import html
 import re
 import string
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -189,18 +190,41 @@ ENTITY_TYPES = {
     "CARDINAL": 18,
 }
 
-_RULES = {
+_MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december"
+#: What the rule-based recogniser looks for, in lower case: shapes of numbers and dates, and nouns that say what a thing is.
+ENTITY_RULES = {
+    "PERSON": r"\b(politician|actor|actress|writer|author|painter|singer|footballer|player|scientist|engineer|architect|bishop|king|queen|person)s?\b|\bborn (in )?\d{4}\b|\b(mr|mrs|dr|prof)\.? ",
+    "NORP": r"\b(party|tribe|ethnic group|christian|muslim|jewish|buddhist|european|american|german|french|russian|greek|spanish|british)s?\b",
+    "FAC": r"\b(bridge|airport|station|stadium|observatory|lighthouse|theatre|museum|castle|church|cathedral|monastery|highway|dam|tower)s?\b",
+    "ORG": r"\b(university|company|department|ministry|institute|foundation|brewery|society|agency|club|band|inc|ltd|gmbh|corporation|organi[sz]ation)\b",
+    "GPE": r"\b(city|town|village|county|country|district|parish|municipality|province|republic|kingdom|state|commune|capital)\b",
+    "LOC": r"\b(river|lake|mountain|mount|valley|island|ocean|sea|bay|cape|ridge|springs|crater|park|continent)\b",
+    "PRODUCT": r"\b(software|car|aircraft|ship|phone|engine|rifle|camera|computer)s?\b",
+    "EVENT": r"\b(war|battle|festival|olympics|championship|tournament|election|earthquake|hurricane)s?\b",
+    "WORK_OF_ART": r"\b(film|novel|song|painting|album|book|opera|symphony|poem|play|sculpture)s?\b",
+    "LAW": r"\b(act|treaty|constitution|directive|statute|convention)\b",
+    "LANGUAGE": r"\b(language|dialect)s?\b",
+    "DATE": r"\b(1[0-9]|20)\d{2}\b|\b(" + _MONTHS + r")\b",
+    "TIME": r"\b\d{1,2}:\d{2}\b",
     "PERCENT": r"\d\s?%|\bpercent\b",
     "MONEY": r"[$€£¥]\s?\d|\b\d+ (dollars|euros|pounds)\b",
-    "TIME": r"\b\d{1,2}:\d{2}\b",
-    "DATE": r"\b(1[0-9]|20)\d{2}\b|\b(january|february|march|april|may|june|july|august|september|october|november|december)\b",
+    "QUANTITY": r"\b\d+([.,]\d+)?\s?(km|m|cm|mm|kg|g|t|ha|miles|feet|metres|meters|tons|litres)\b",
     "ORDINAL": r"\b\d+(st|nd|rd|th)\b|\b(first|second|third)\b",
     "CARDINAL": r"\b\d+\b|\b(one|two|three|four|five|six|seven|eight|nine|ten)\b",
 }
 
 
-def entity_labels(title: Column, description: Column) -> Column:
-    """Numbers of the rule-based entity types in "title - description", distinct, ascending. A trained recogniser can be plugged in as a UDF."""
-    text = F.lower(F.concat_ws(" - ", title, description))
-    found = [F.when(text.rlike(rule), F.lit(ENTITY_TYPES[name])) for name, rule in _RULES.items()]
-    return F.array_sort(F.array_compact(F.array(*found)))
+def by_rules(text: Column) -> Column:
+    """Names of the entity types whose rule matches somewhere in a text."""
+    return F.array_compact(F.array(*(F.when(F.lower(text).rlike(rule), F.lit(name)) for name, rule in ENTITY_RULES.items())))
+
+
+def entity_labels(title: Column, description: Column, recogniser: Callable[[Column], Column] = by_rules) -> Column:
+    """Numbers of the entity types in "title - description", distinct, ascending.
+
+    ``recogniser`` maps a text column to an array of type names; a trained model
+    takes its place as an Arrow UDF. Names without a number are left out.
+    """
+    numbers = F.create_map(*(F.lit(x) for pair in ENTITY_TYPES.items() for x in pair))
+    found = recogniser(F.concat_ws(" - ", title, description))
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform(found, lambda name: F.try_element_at(numbers, name)))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,18 @@ def save_run(df: DataFrame, path: str, stamp: str) -> None:
     df.withColumn("run", F.lit(stamp)).write.mode("append").partitionBy("run").parquet(path)
 
 
+def save_slot(df: DataFrame, path: str, number: int, slots: int = 9) -> None:
+    """The ``number``-th state of a long run, in one of ``slots`` folders taken in turn; ``resume`` reads the newest."""
+    df.withColumn("number", F.lit(number)).write.mode("overwrite").partitionBy("number").parquet(f"{path}/slot={number % slots + 1}")
+
+
+def resume(spark: SparkSession, path: str) -> tuple[int, DataFrame]:
+    """Number and content of the newest state that was saved in slots."""
+    every = spark.read.parquet(path)
+    number = every.agg(F.max("number")).first()[0]
+    return number, every.where(F.col("number") == number).drop("slot", "number")
+
+
 def append_csv(df: DataFrame, path: str) -> None:
     """Lines added to a CSV folder, every value quoted, quotes doubled."""
     df.write.mode("append").option("quoteAll", True).option("escape", '"').csv(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import urllib.error
 import urllib.parse
 import urllib.request
@@ -43,12 +44,13 @@ def http_get(url: str, timeout: float = 30.0) -> tuple[int, str]:
         return e.code, ""
 
 
-def fetch(requests: DataFrame, get: Callable[[str], tuple[int, str]] = http_get, partitions: int | None = None) -> DataFrame:
+def fetch(requests: DataFrame, get: Callable[[str], tuple[int, str]] = http_get, partitions: int | None = None, tries: int = 3, wait: float = 1.0) -> DataFrame:
     """``requests(url, ...)`` with ``status``, ``error`` and ``body``.
 
     Equal URLs are asked once. ``partitions`` bounds the number of requests in
-    flight. A refused request (429) or a failed one keeps its row, with an
-    error, and can be asked again by filtering on it.
+    flight. A refused request (429) is asked up to ``tries`` times, after ``wait``
+    seconds, then twice as many, and so on. What is still refused, or failed,
+    keeps its row, with an error, and can be asked again by filtering on it.
     """
     asked = requests.select("url").distinct()
     asked = asked.repartition(partitions) if partitions else asked
@@ -59,6 +61,11 @@ def fetch(requests: DataFrame, get: Callable[[str], tuple[int, str]] = http_get,
             for url in pdf["url"]:
                 try:
                     status, body = get(url)
+                    for n in range(1, tries):
+                        if status != 429:
+                            break
+                        time.sleep(wait * 2 ** (n - 1))
+                        status, body = get(url)
                     rows.append((url, status, None if status == 200 else "rate limit" if status == 429 else f"status {status}", body if status == 200 else None))
                 except Exception as e:  # noqa: BLE001
                     rows.append((url, None, str(e), None))

@@ -211,6 +211,10 @@ def test_sources_and_sinks(spark, tmp_path):
     sinks.save_run(df, str(tmp_path / "r"), "a")
     sinks.save_run(df, str(tmp_path / "r"), "b")
     assert tables.dump(spark, str(tmp_path / "r")).count() == 2
+    for n in range(12):
+        sinks.save_slot(df.withColumn("step", F.lit(n)), str(tmp_path / "k"), n)
+    number, newest = sinks.resume(spark, str(tmp_path / "k"))
+    assert number == 11 and [r["step"] for r in newest.collect()] == [11] and len(list((tmp_path / "k").iterdir())) == 9
     sinks.append_csv(df, str(tmp_path / "c"))
     assert [r["body"] for r in tables.annotations(spark, str(tmp_path / "c"), ["key", "body"]).collect()] == ['say "hi"']
     sinks.save_cell_json(df, str(tmp_path / "j"))
@@ -224,7 +228,7 @@ def test_requests_keep_failures(spark):
         return (429, "") if "busy" in url else (200, '{"search":[{"id":"Q4"},{"id":"Q2"}]}')
 
     df = spark.createDataFrame([("a", "ok"), ("b", "ok"), ("c", "busy"), ("d", "bad")], "mention string, url string")
-    got = web.fetch(df, get, partitions=2)
+    got = web.fetch(df, get, partitions=2, wait=0.01)
     assert {r["mention"]: r["error"] for r in got.collect()} == {"a": None, "b": None, "c": "rate limit", "d": "down"}
     assert sorted(tuple(r) for r in web.found_ids(got.where("error is null")).where("mention = 'a'").collect()) == [("a", 2, 1), ("a", 4, 0)]
     assert col(spark, lambda x: web.entity_search_url("http://h/api", x), ["a b"])[0].endswith("limit=30&search=a+b")
@@ -238,12 +242,19 @@ def test_pipeline_both_variants(spark, sf):
         assert r["cells"] == run.dataset.count() and r["right"] >= r["right_strict"] > 0
 
 
-def test_tuning(spark, sf):
+def test_tuning(spark, sf, tmp_path):
     t = lambda n: spark.read.parquet(f"{sf}/{n}.parquet")
     run = pipeline.annotate(t("table_rows"), t("cea_gt"), t("candidate"), t("kg_item"), limit=3)
     rows = models.labelled(run.featured).limit(200).cache()
     best = models.tuned(rows, {"maxDepth": [2], "maxIter": [2, 3]}, folds=2)
-    assert len(best.avgMetrics) == 2
+    scores = models.grid_scores(best)
+    assert [s for s, _ in scores] == ['{"maxDepth": 2, "maxIter": 2}', '{"maxDepth": 2, "maxIter": 3}'] and all(0 <= v <= 1 for _, v in scores)
+    models.save(best.bestModel, str(tmp_path / "m"))
+    again = models.load(spark, str(tmp_path / "m"))
+    assert again.transform(rows).select("prediction").collect() == best.bestModel.transform(rows).select("prediction").collect()
+    for loss, far in (("huber", lambda a, b: (a - b) ** 2), ("quantile", lambda a, b: 0.9 * (a - b) if a > b else 0.1 * (b - a))):
+        total = [sum(far(r["label"], r["prediction"]) for r in models.fit_loss(rows, loss, rounds=n, step=0.5, depth=3, least=1).transform(rows).collect()) for n in (0, 3)]
+        assert total[1] < total[0]
 
 
 def test_stream_skips_what_is_done(spark, tmp_path):
@@ -255,6 +266,13 @@ def test_stream_skips_what_is_done(spark, tmp_path):
     assert sorted((r["tab_id"], r["row_id"]) for r in spark.read.parquet(args["output"]).collect()) == [("a", 1), ("b", 1)]
 
 
+def test_recogniser_can_be_replaced(spark):
+    df = spark.createDataFrame([("Krelvo", "river in Tolva county, known since 1898"), (None, None)], "t string, d string")
+    own = lambda text: F.array(F.lit("PERSON"), F.lit("PERSON"), F.lit("nothing"))
+    labels = lambda *a: [r[0] for r in df.select(text.entity_labels(F.col("t"), F.col("d"), *a)).collect()]
+    assert labels() == [[5, 6, 12, 18], []] and labels(own) == [[1], [1]]
+
+
 HIT = '{"id":"Q1","title":"t","pageid":1,"display":{"label":{"value":"v","language":"en"}},"repository":"wikidata","url":"u","concepturi":"c","label":"l","match":{"type":"label","language":"en","text":"x"}%s}'
 ANSWER = '{"searchinfo":{"search":"s"},"search":[%s],"success":1%s}'
 

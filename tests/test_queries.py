@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cellweave import oracle, registry
 
-SLOW = {"train_score", "feature_importance"}
+SLOW = {"train_score", "feature_importance", "grid_search"}
 
 
 @pytest.fixture(scope="module")

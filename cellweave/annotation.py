@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from cellweave.functions import text
 from cellweave.operators import candidates, cells, entities, evaluation, features, hierarchy, linking, models, nested, suggestion, validation
-from cellweave.runtime import cut, table
+from cellweave.runtime import cut, scratch, table
+from cellweave.sources import sinks, tables
 
 PREFIX = "http://kg.tablelink.example/entity/"
 PROPERTY_PREFIX = "http://kg.tablelink.example/prop/direct/"
@@ -36,6 +37,20 @@ def target_cells(spark, folder):
     return found.agg(F.count("*").alias("cells"), F.countDistinct("mention").alias("mentions"))
 
 
+def deny_list(spark, folder):
+    """Gold cells but those of entities that the reference list does not describe."""
+    denied = table(spark, folder, "kg_item").where("description is null").select(F.substring("item_id", 2, 40).try_cast("bigint").alias("correct_id"))
+    return cells.without(cells.gold_cells(table(spark, folder, "cea_gt")), denied, "correct_id").drop("ids")
+
+
+def annotation_scan(spark, folder):
+    """The gold written as a CSV annotation file and read back."""
+    path = scratch(spark)
+    columns = ["gt_id", "tab_id", "row_id", "col_id", "entity"]
+    sinks.append_csv(table(spark, folder, "cea_gt").select(*columns), path)
+    return tables.annotations(spark, path, columns).drop("file")
+
+
 def cell_key(spark, folder):
     return _dataset(spark, folder).select(cells.cell_key(F.col("tab_id"), F.col("row"), F.col("col")).alias("key"), "mention")
 
@@ -177,8 +192,8 @@ def _top(spark, folder) -> DataFrame:
     return candidates.top_candidates(_dataset(spark, folder), _known(spark, folder))
 
 
-def _found(spark, folder) -> DataFrame:
-    data = cut(_dataset(spark, folder))
+def _found(spark, folder, data: DataFrame | None = None) -> DataFrame:
+    data = cut(_dataset(spark, folder) if data is None else data)
     return candidates.cell_candidates(data, candidates.top_candidates(data, _known(spark, folder)))
 
 
@@ -237,9 +252,17 @@ def _featured(spark, folder) -> DataFrame:
     return features.column_features(cut(_found(spark, folder)), cut(_known(spark, folder)))
 
 
+def column_features_spell(spark, folder):
+    """The same features from the candidates of the corrected mentions."""
+    corrected = _suggested(spark, folder)
+    data = _dataset(spark, folder).join(corrected, "mention", "left").withColumn("mention", F.coalesce("suggestion", "mention")).drop("suggestion")
+    made = features.column_features(cut(_found(spark, folder, data)), cut(_known(spark, folder)))
+    return made.select("tab_id", "row", "col", "pos", "entity_id", *(_six(F.col(c)).alias(c) for c in ("lex", "inst", "subc", "descr")))
+
+
 def _six(value):
-    """Six places, rounded at nine first, so that a half does not depend on the order of a sum."""
-    return F.round(F.round(value, 9), 6)
+    """Six places; rounded at nine first, and a half always upwards, so that it does not depend on the order of a sum."""
+    return F.round(F.round(value, 9) + 1e-10, 6)
 
 
 def column_features(spark, folder):
@@ -416,10 +439,10 @@ def feature_importance(spark, folder):
 
 
 _ALL = (
-    open_dataset, columns_grouped, target_cells, cell_key, id_from_url, string_basics, run_stamp, remove_last_symbol, acceptable_match, remove_stopwords, term_counts,
+    open_dataset, columns_grouped, target_cells, deny_list, annotation_scan, cell_key, id_from_url, string_basics, run_stamp, remove_last_symbol, acceptable_match, remove_stopwords, term_counts,
     description_cosine, indel_ratio, title_subsets, title_distance, best_title_match, search_lookup, search_request, entity_parse, entity_label, entity_lookup,
     claims_flatten, instances_subclasses, validate_response, candidate_topk, correct_candidate, candidate_recall, fetch_completeness, distinct_mentions, variant_union,
-    merge_dict, instance_overlap_pair, context_pairs, column_features, feature_vectors, label_vectors, best_candidate, linking_accuracy, spell_pairs, spellcheck_accuracy,
+    merge_dict, instance_overlap_pair, context_pairs, column_features, column_features_spell, feature_vectors, label_vectors, best_candidate, linking_accuracy, spell_pairs, spellcheck_accuracy,
     spellcheck_accuracy_hard, suggestion_accuracy, suggestion_accuracy_hard, uri_normalise, cea_eval, cpa_eval, cta_eval, eval_leaderboard, html_unescape, best_suggestion, ner_labels, train_score, feature_importance, grid_search,
 )
 QUERIES = {f.__name__: f for f in _ALL} | {"suggestion": suggestions}

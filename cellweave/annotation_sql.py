@@ -177,8 +177,8 @@ SELECT coalesce(r.id, c.id) AS id, CASE WHEN r.id IS NOT NULL THEN r.title ELSE
     "instance_overlap_pair": _DATA + ", " + _KNOWN + _NEXT + """SELECT correct_id, next_id, len(list_intersect(list_distinct(a.instances), list_distinct(b.instances))) AS inst,
 len(list_intersect(list_distinct(a.subclasses), list_distinct(b.subclasses))) AS subc FROM nxt JOIN known a ON a.id = correct_id JOIN known b ON b.id = next_id""",
     "context_pairs": _FOUND + _PAIRS + 'SELECT tab_id, "row", col, pos, count(*) AS pairs FROM pairs WHERE entity_id <> other_id GROUP BY 1, 2, 3, 4',
-    "column_features": _FEAT + 'SELECT tab_id, "row", col, pos, entity_id, round(round(lex, 9), 6) AS lex, round(round(inst, 9), 6) AS inst, round(round(subc, 9), 6) AS subc, round(round(descr, 9), 6) AS descr FROM feat',
-    "feature_vectors": _FEAT + 'SELECT tab_id, "row", col, pos, CAST(entity_id AS DOUBLE) AS f0, round(round(coalesce(lex, 0), 9), 6) AS f1, round(round(inst, 9), 6) AS f2, round(round(subc, 9), 6) AS f3, round(round(descr, 9), 6) AS f4 FROM feat',
+    "column_features": _FEAT + 'SELECT tab_id, "row", col, pos, entity_id, round(round(lex, 9) + 1e-10, 6) AS lex, round(round(inst, 9) + 1e-10, 6) AS inst, round(round(subc, 9) + 1e-10, 6) AS subc, round(round(descr, 9) + 1e-10, 6) AS descr FROM feat',
+    "feature_vectors": _FEAT + 'SELECT tab_id, "row", col, pos, CAST(entity_id AS DOUBLE) AS f0, round(round(coalesce(lex, 0), 9) + 1e-10, 6) AS f1, round(round(inst, 9) + 1e-10, 6) AS f2, round(round(subc, 9) + 1e-10, 6) AS f3, round(round(descr, 9) + 1e-10, 6) AS f4 FROM feat',
     "label_vectors": _FOUND + 'SELECT tab_id, "row", col, pos, CASE WHEN entity_id = correct_id THEN 1.0 ELSE 0.0 END::DOUBLE AS label FROM found',
     "best_candidate": _BEST + 'SELECT tab_id, "row", col, correct_id, entity_id FROM best',
     "linking_accuracy": _BEST + """, m AS (SELECT ds.correct_id, b.entity_id FROM ds LEFT JOIN best b USING (tab_id, "row", col)),
@@ -298,3 +298,13 @@ _UNESCAPED = "regexp_replace(replace(replace(replace(replace(title, '&lt;', '<')
 SQL["html_unescape"] = _TITLES + f"SELECT response_id, pos, {_UNESCAPED} AS title FROM titles"
 _matched = ", ".join(f"CASE WHEN regexp_matches(lower(title || ' - ' || description), '{rule}') THEN {ENTITY_TYPES[name]} END" for name, rule in ENTITY_RULES.items())
 SQL["ner_labels"] = f"WITH {_CAT} SELECT id, array_to_string(list_sort(list_filter([{_matched}], lambda x: x IS NOT NULL)), ' ') AS labels FROM cat"
+
+_SPELL = (
+    _suggestion()
+    + f""", {_GOLD}, ds AS (SELECT c.tab_id, c."row", c.col, coalesce(v.suggestion, c.mention) AS mention, g.correct_id FROM cells c JOIN gold g USING (tab_id, "row", col) LEFT JOIN v ON v.mention = c.mention)"""
+    + _FEAT[len(_DATA) :]
+)
+SQL["column_features_spell"] = _SPELL + SQL["column_features"][len(_FEAT) :]
+SQL["annotation_scan"] = "SELECT gt_id::VARCHAR AS gt_id, coalesce(tab_id, '') AS tab_id, coalesce(row_id, '') AS row_id, coalesce(col_id, '') AS col_id, coalesce(entity, '') AS entity FROM cea_gt"
+SQL["deny_list"] = f"""WITH {_GOLD}, denied AS (SELECT DISTINCT CAST(item_id[2:] AS BIGINT) AS id FROM kg_item WHERE description IS NULL)
+SELECT tab_id, "row", col, correct_id FROM gold WHERE correct_id NOT IN (SELECT id FROM denied)"""

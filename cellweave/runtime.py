@@ -6,8 +6,10 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -36,6 +38,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder's path beside the checkpoints, shared by all executors."""
+    return f"{ensure_checkpoint_dir(spark)}/cellweave-{uuid.uuid4().hex}"
+
+
 def width(spark: SparkSession) -> int:
     """Number of shuffle partitions the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -66,6 +73,31 @@ def keyed(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(max(width(spark), spark.sparkContext.defaultParallelism), *keys)
 
 
+def hot_keys(df: DataFrame, *keys: str, rows: int = 10_000) -> DataFrame | None:
+    """``(keys, salts)`` of the keys that hold over ``rows`` rows and more than a quarter of a partition's share; None where there is none.
+
+    Fewer than four times the shuffle partitions can be hot, so they fit on the driver.
+    """
+    most = max(rows, df.count() // (4 * width(df.sparkSession)))
+    hot = df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias("salts"))
+    found = hot.collect()
+    return df.sparkSession.createDataFrame(found, hot.schema) if found else None
+
+
+def split_join(left: DataFrame, right: DataFrame, *keys: str, rows: int = 10_000) -> DataFrame:
+    """Inner join on ``keys`` in which no task holds a hot key of ``left`` whole: its rows are salted, and those of ``right`` copied to the salts.
+
+    ``left`` is counted first and should be cut. The hot keys are broadcast, for ``hot_keys`` bounds their number.
+    """
+    hot = hot_keys(left, *keys, rows=rows)
+    if hot is None:
+        return left.join(right, [*keys])
+    salts = F.coalesce("salts", F.lit(1))
+    a = left.join(F.broadcast(hot), [*keys], "left").withColumn("salt", F.pmod(F.xxhash64(*left.columns), salts).cast("int")).drop("salts")
+    b = right.join(F.broadcast(hot), [*keys], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return a.join(b, [*keys, "salt"]).drop("salt")
+
+
 _SHIPPED: set[str] = set()
 
 

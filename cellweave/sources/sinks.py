@@ -29,8 +29,8 @@ def resume(spark: SparkSession, path: str) -> tuple[int, DataFrame]:
 
 
 def append_csv(df: DataFrame, path: str) -> None:
-    """Lines added to a CSV folder, every value quoted, quotes doubled."""
-    df.write.mode("append").option("quoteAll", True).option("escape", '"').csv(path)
+    """Lines added to a CSV folder, every value quoted, quotes doubled, blanks at the ends kept."""
+    df.write.mode("append").csv(path, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def save_cell_json(df: DataFrame, path: str) -> None:

@@ -3,6 +3,7 @@
 import datetime
 import random
 
+from cellweave import runtime
 from cellweave.operators import components, hierarchy, nested, rejects
 
 CANDIDATE = "id bigint, title string, description string, instances array<bigint>, subclasses array<bigint>, fetched_at timestamp, node string, parent string, component string"
@@ -168,3 +169,13 @@ def test_rejects_long_digits_control_signs_and_unknown_feeds(spark):
 
 def test_nested_repeated_keys_last_value_counts(spark):
     assert flat(spark, [(1, '{"search":[{"id":"Q1","id":"Q2"}],"searchinfo":{"search":"a"},"searchinfo":{"search":"b"}}')]) == [(1, "hit", 0, -1, "Q2"), (1, "query", -1, -1, "b")]
+
+
+def test_split_join_equals_the_plain_join(spark):
+    rnd = random.Random(3)
+    left = spark.createDataFrame([("hot" if i % 3 else rnd.choice("abc"), i) for i in range(300)] + [(None, 1)], "k string, x int")
+    right = spark.createDataFrame([(k, y) for y, k in enumerate(["hot", "hot", "a", "b", "z", None])], "k string, y int")
+    assert [r["k"] for r in runtime.hot_keys(left, "k", rows=60).collect()] == ["hot"]
+    got = sorted(tuple(r) for r in runtime.split_join(left, right, "k", rows=60).select("k", "x", "y").collect())
+    assert got == sorted(tuple(r) for r in left.join(right, "k").select("k", "x", "y").collect())
+    assert runtime.split_join(left.limit(0), right, "k").count() == 0

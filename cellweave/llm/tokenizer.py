@@ -17,9 +17,11 @@ from __future__ import annotations
 import base64
 import gc
 import os
+from array import array
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -55,7 +57,7 @@ class _State(dict):
         self.machine = machine
         self.last = last
         self.hypotheses = hypotheses
-        self.final = next((ids for ids, node in hypotheses if not node), None)
+        self.final = hypotheses[-1][0]  # the hypothesis that ends a token comes last
 
     def __missing__(self, byte: int):
         step = self.machine.step(self, byte)
@@ -172,17 +174,17 @@ class Transducer:
                     if self._compatible(ids[-1] if ids else state.last, token):
                         ended = (*ids, token)
         after.append((ended, 0))
-        first = min((ids for ids, _ in after), key=len)
-        if not first:
+        head = after[0][0]
+        if not head:
             return self._state(state.last, tuple(after)), ()
         shared = 0
-        for those in zip(*(ids for ids, _ in after), strict=False):
+        for those in zip(*[ids for ids, _ in after], strict=False):
             if those.count(those[0]) < len(those):
                 break
             shared += 1
         if not shared:
             return self._state(state.last, tuple(after)), ()
-        return self._state(first[shared - 1], tuple([(ids[shared:], node) for ids, node in after])), first[:shared]
+        return self._state(head[shared - 1], tuple([(ids[shared:], node) for ids, node in after])), head[:shared]
 
     def encode(self, text: str) -> list[int]:
         """Ids of one text, without special tokens; ``''`` gives ``[]``."""
@@ -195,8 +197,9 @@ class Transducer:
         extend = ids.extend
         start = self.start
         for piece in self.pattern.findall(text):
-            if piece in known:
-                extend(known[piece])
+            found = known.get(piece)
+            if found is not None:
+                extend(found)
                 continue
             at = len(ids)
             state = start
@@ -302,9 +305,14 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _machine(raw)
         for batch in batches:
+            flat, ends = array("i"), array("i", [0])
             with _no_collection():
-                ids = [machine.encode(t) if t else [] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
+                for t in batch.column(1).to_pylist():
+                    if t:
+                        flat.extend(machine.encode(t))
+                    ends.append(len(flat))
+            ids = pa.ListArray.from_arrays(pa.array(np.asarray(ends)), pa.array(np.asarray(flat)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[key, "ids"])
 
     return spread(df.select(key, text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 

@@ -16,22 +16,25 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellweave.llm.names import slips, words
-from cellweave.runtime import cut, spread, width
+from cellweave.runtime import cut, keyed, width
 
 #: Rows of the longer table that must recur, in tenths.
 TENTHS = 7
 #: Patterns for one automaton, and members of one route beyond which it is salted.
 SHARD_PATTERNS = 50_000
 ROUTE_PATTERNS = 20_000
+#: Training values for one scan of a shard; more are scanned in several tasks.
+SHARD_TEXTS = 200_000
 #: A word in this share of the values or more doesn't tell values apart.
 COMMON_SHARE = 0.005
 
 _START, _END = "\x02", "\x03"
+_FOLDED = T.StructType([T.StructField("value", T.StringType()), T.StructField("spelled", T.ArrayType(T.StringType()))])
 _PASSAGE = "route string, value string, pattern string"
 
 
@@ -41,17 +44,17 @@ def table_rows_once(rows: DataFrame) -> DataFrame:
     ``value`` is the folded col0: letters and digits only; it is null where
     nothing is left, and such a row recurs nowhere but counts as a row.
     """
-    latest = rows.where("tab_id is not null and row_id is not null").groupBy("tab_id", "row_id").agg(
+    latest = keyed(rows.where("tab_id is not null and row_id is not null"), "tab_id", "row_id").groupBy("tab_id", "row_id").agg(
         F.max(F.struct("loaded_at", "col0", "split", "source")).alias("r")
     )
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def spelled(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: words(t) if t else [])
+    @F.pandas_udf(_FOLDED)
+    def folded(texts: pd.Series) -> pd.DataFrame:
+        spelled = [words(t) if t else [] for t in texts]
+        return pd.DataFrame({"value": ["".join(s) or None for s in spelled], "spelled": spelled}, dtype=object)
 
-    parts = spread(latest).withColumn("spelled", spelled("r.col0"))
-    joined = F.array_join("spelled", "")
-    return parts.select("tab_id", "row_id", F.col("r.split").alias("split"), F.col("r.source").alias("source"), F.when(joined != "", joined).alias("value"), "spelled")
+    parts = latest.select("tab_id", "row_id", "r.split", "r.source", folded("r.col0").alias("f"))
+    return parts.select("tab_id", "row_id", "split", "source", "f.value", "f.spelled")
 
 
 def common_words(values: DataFrame) -> list[str]:
@@ -89,12 +92,16 @@ def patterns(spelled: list[str], common: set[str]) -> list[tuple[str, str]]:
     ]
 
 
+#: Outer letters of a piece by which it is routed; shorter pieces go by one letter.
+OUTER = 3
+
+
 def _head_route(piece: str) -> str:
-    return "^" + piece[: 5 if len(piece) >= 5 else 2 if len(piece) >= 2 else 1]
+    return "^" + piece[: OUTER if len(piece) >= OUTER else 1]
 
 
 def _tail_route(piece: str) -> str:
-    return "$" + piece[-(5 if len(piece) >= 5 else 2 if len(piece) >= 2 else 1) :]
+    return "$" + piece[-(OUTER if len(piece) >= OUTER else 1) :]
 
 
 def same_value(a: str, b: str) -> bool:
@@ -126,7 +133,7 @@ def _scan(key: tuple, passages: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFra
             if same_value(value, text):
                 out_v.append(value)
                 out_t.append(text)
-    return pd.DataFrame({"value": out_v, "text": out_t})
+    return pd.DataFrame({"value": out_v, "text": out_t}, dtype=object)
 
 
 def matches(passages: DataFrame, texts: DataFrame, common: list[str]) -> DataFrame:
@@ -139,76 +146,72 @@ def matches(passages: DataFrame, texts: DataFrame, common: list[str]) -> DataFra
             rows = [(route, "".join(s), p) for s in pdf["spelled"] for route, p in patterns(list(s), known)]
             yield pd.DataFrame(rows, columns=["route", "value", "pattern"])
 
-    made = cut(passages.select("spelled").mapInPandas(compiled, _PASSAGE))
-    routes = cut(made.groupBy("route").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / ROUTE_PATTERNS).cast("int")))
-    shards = max(width(spark), -(-made.count() // SHARD_PATTERNS))
-    shard = F.pmod(F.xxhash64("route", "salt"), F.lit(shards)).alias("shard")
-    left = made.join(routes, "route").withColumn("salt", F.pmod(F.xxhash64("value"), F.col("salts")).cast("int")).select(shard, "value", "pattern")
-    heads = [F.concat(F.lit("^"), F.substring("value", 1, k)) for k in (5, 2, 1)]
-    tails = [F.concat(F.lit("$"), F.expr(f"right(value, {k})")) for k in (5, 2, 1)]
-    lone = F.concat(F.lit(_START), F.col("value"))
-    routed = texts.select(F.col("value").alias("text"), F.explode(F.array_distinct(F.array(*heads, *tails, lone))).alias("route"))
-    salted = routed.join(routes, "route").select("route", "text", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    right = salted.select(shard, "text").distinct()
-    return left.groupBy("shard").cogroup(right.groupBy("shard")).applyInPandas(_scan, "value string, text string").distinct()
+    made = cut(keyed(passages.select("spelled"), "spelled").mapInPandas(compiled, _PASSAGE))
+    ends = [F.concat(F.lit("^"), F.substring("value", 1, k)) for k in (OUTER, 1)] + [F.concat(F.lit("$"), F.expr(f"right(value, {k})")) for k in (OUTER, 1)]
+    lone = F.when(F.length("value") < 2, F.concat(F.lit(_START), F.col("value")))
+    routed = texts.select(F.col("value").alias("text"), F.explode(F.array_distinct(F.array_compact(F.array(*ends, lone)))).alias("route"))
+    shards = max(width(spark), -(-made.count() // SHARD_PATTERNS), -(-texts.count() * 4 // SHARD_TEXTS))
+    left, right = made.withColumn("i", F.lit(0)).withColumn("j", F.lit(0)), routed.withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
+    hot = _crowded(made, routed)
+    if hot is not None:
+        share = lambda c, of: F.pmod(F.xxhash64(c), F.coalesce(of, F.lit(1))).cast("int")
+        each = lambda of: F.explode(F.sequence(F.lit(0), F.coalesce(of, F.lit(1)) - 1))
+        left = made.join(F.broadcast(hot), "route", "left").withColumn("i", share("value", "of_patterns")).withColumn("j", each("of_texts"))
+        right = routed.join(F.broadcast(hot), "route", "left").withColumn("j", share("text", "of_texts")).withColumn("i", each("of_patterns"))
+    shard = F.pmod(F.xxhash64("route", "i", "j"), F.lit(shards)).alias("shard")
+    placed = right.select(shard, "text").distinct()
+    return left.select(shard, "value", "pattern").groupBy("shard").cogroup(placed.groupBy("shard")).applyInPandas(_scan, "value string, text string").distinct()
+
+
+def _crowded(made: DataFrame, routed: DataFrame) -> DataFrame | None:
+    """``(route, of_patterns, of_texts)``: routes of too many patterns or texts and the parts each side is split into; None where there is none.
+
+    Their number is bounded by that of all members over the bound, so they fit on the driver.
+    """
+    sides = made.groupBy("route").agg(F.count("*").alias("p"), F.lit(0).cast("bigint").alias("t")).where(F.col("p") > ROUTE_PATTERNS)
+    sides = sides.unionByName(routed.groupBy("route").agg(F.lit(0).cast("bigint").alias("p"), F.count("*").alias("t")).where(F.col("t") > SHARD_TEXTS))
+    rows = [(r[0], max(1, -(-r[1] // ROUTE_PATTERNS)), max(1, -(-r[2] // SHARD_TEXTS))) for r in sides.groupBy("route").agg(F.max("p"), F.max("t")).collect()]
+    return made.sparkSession.createDataFrame(rows, "route string, of_patterns int, of_texts int") if rows else None
 
 
 def repeated_tables(rows: DataFrame) -> DataFrame:
     """``(tab_a, tab_b, split, source, tab_held, shared, longer)``: evaluation and training tables of which at least 7/10 of the rows of the longer recur.
 
-    The smaller table id comes first. Candidate pairs come from the rarest rows
-    alone: of the longer table, so many that at least one must recur; a value
-    that stands in a third of all tables thus never pairs them. Null or blank
-    values recur nowhere; tables of a null split are left out; empty input gives no rows.
+    The smaller table id comes first. A table takes part as the longer one only
+    if that many of its rows recur anywhere. Of its rows only the rarest look for
+    partners, so many that one of them must recur in each: a value that stands in
+    a third of all tables never pairs them. Then the rows matched in a partner,
+    each the unit interval of its table, are merged into the coverage of the pair.
+    Null or blank values recur nowhere; tables of a null split are left out;
+    empty input gives no rows.
     """
     every = cut(table_rows_once(rows))
-    is_eval = F.col("split").isin("valid", "test")
+    held = F.when(F.col("split").isin("valid", "test"), True).when(F.col("split") == "train", False)
     sizes = cut(every.groupBy("tab_id").agg(F.count("*").alias("n"), F.max("split").alias("split"), F.max("source").alias("source")))
-    filled = every.where("value is not null")
-    values = cut(filled.select("value", "spelled", is_eval.alias("held")).where("held is not null").dropDuplicates(["value", "held"]))
-    held_values, train_values = values.where("held").select("value", "spelled"), values.where("not held").select("value", "spelled")
-    met = cut(matches(held_values, train_values, common_words(values)))
-    held = filled.where(is_eval).select(F.col("tab_id").alias("held_tab"), F.col("row_id").alias("held_row"), "value")
-    train = filled.where("split = 'train'").select(F.col("tab_id").alias("train_tab"), F.col("row_id").alias("train_row"), F.col("value").alias("text"))
-    held_cells = met.join(train.groupBy("text").agg(F.count("*").alias("df")), "text").groupBy("value").agg(F.sum("df").alias("df"))
-    train_cells = met.join(held.groupBy("value").agg(F.count("*").alias("df")), "value").groupBy("text").agg(F.sum("df").alias("df"))
-    held_n = sizes.select(F.col("tab_id").alias("held_tab"), F.col("n").alias("held_n"), "split", "source")
-    train_n = sizes.select(F.col("tab_id").alias("train_tab"), F.col("n").alias("train_n"))
-    candidates = cut(
-        _rarest(held, "held_tab", "held_row", "value", held_cells, held_n, "held_n")
-        .join(met, "value")
-        .join(train.select("train_tab", "text").distinct(), "text")
-        .select("held_tab", "train_tab")
-        .union(
-            _rarest(train, "train_tab", "train_row", "text", train_cells, train_n, "train_n")
-            .join(met, "text")
-            .join(held.select("held_tab", "value").distinct(), "value")
-            .select("held_tab", "train_tab")
-        )
-        .distinct()
-    )
-    hits = candidates.join(held, "held_tab").join(met, "value").join(train, ["train_tab", "text"])
-    covered = hits.groupBy("held_tab", "train_tab").agg(F.countDistinct("held_row").alias("held_rows"), F.countDistinct("train_row").alias("train_rows"))
-    both = covered.join(held_n, "held_tab").join(train_n, "train_tab")
-    shared = (
-        F.when(F.col("held_n") > F.col("train_n"), F.col("held_rows"))
-        .when(F.col("held_n") < F.col("train_n"), F.col("train_rows"))
-        .otherwise(F.greatest("held_rows", "train_rows"))
-    )
-    longer = F.greatest("held_n", "train_n")
-    return both.where(shared * 10 >= longer * TENTHS).select(
-        F.least("held_tab", "train_tab").alias("tab_a"), F.greatest("held_tab", "train_tab").alias("tab_b"), "split", "source", F.col("held_tab").alias("tab_held"), shared.alias("shared"), longer.alias("longer")
-    )
-
-
-def _rarest(cells: DataFrame, tab: str, row: str, value: str, degree: DataFrame, size: DataFrame, n: str) -> DataFrame:
-    """Of each table, the rows of least degree, n - ceil(0.7 n) + 1 of them, blank rows counted first; tables are small groups of at most their own rows."""
-    ranked = cells.join(degree, value, "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    listed = ranked.groupBy(tab).agg(F.sort_array(F.collect_list(F.struct("df", row, F.col(value)))).alias("rows"))
-    sized = listed.join(size.select(tab, n), tab)
-    blank = F.col(n) - F.size("rows")
-    keep = F.col(n) - F.ceil(F.col(n) * TENTHS / 10) + 1 - blank
-    return sized.select(tab, F.explode(F.slice("rows", F.lit(1), F.greatest(keep.cast("int"), F.lit(0)))).alias("r")).select(tab, F.col(f"r.{value}").alias(value)).distinct()
+    filled = every.where("value is not null").select(F.col("tab_id").alias("tab"), F.col("row_id").alias("row"), "value", "spelled", held.alias("held")).where("held is not null")
+    values = cut(filled.groupBy("value", "held").agg(F.count("*").alias("df"), F.any_value("spelled").alias("spelled")))
+    met = cut(matches(values.where("held").select("value", "spelled"), values.where("not held").select("value", "spelled"), common_words(values)))
+    # From here on both directions go together: ``held`` says on which side the longer table is.
+    both = cut(met.select("value", F.lit(True).alias("held"), "text").unionAll(met.select(F.col("text").alias("value"), F.lit(False).alias("held"), F.col("value").alias("text"))))
+    known = values.select("value", "held", "df").join(both.select("value", "held").distinct(), ["value", "held"])
+    matched = cut(filled.drop("spelled").join(known, ["value", "held"]))
+    size = sizes.select(F.col("tab_id").alias("tab"), "n")
+    enough = matched.groupBy("tab").agg(F.count("*").alias("found")).join(size, "tab").where(F.col("found") * 10 >= F.col("n") * TENTHS)
+    recurring = cut(matched.join(enough, "tab"))
+    # Rows that recur nowhere are the rarest of all: they come first and take part of the number that is kept.
+    keep = F.col("n") - F.ceil(F.col("n") * TENTHS / 10) + 1 - (F.col("n") - F.col("found"))
+    rank = F.row_number().over(Window.partitionBy("tab").orderBy("df", "row"))
+    rare = recurring.withColumn("rank", rank).where(F.col("rank") <= keep).select(F.col("tab").alias("long"), "n", "value", "held").distinct()
+    partner = matched.select(F.col("tab").alias("short"), F.col("value").alias("text"), (~F.col("held")).alias("held")).distinct()
+    shorter = sizes.select(F.col("tab_id").alias("short"), F.col("n").alias("short_n"))
+    sought = rare.join(both, ["value", "held"]).join(partner, ["text", "held"]).select("long", "n", "short").distinct()
+    pairs = cut(sought.join(shorter, "short").where("short_n <= n").select("long", "short"))
+    hits = pairs.join(recurring.select(F.col("tab").alias("long"), "row", "n", "value", "held"), "long").join(both, ["value", "held"]).join(partner, ["short", "text", "held"])
+    covered = hits.groupBy("long", "short", "n", "held").agg(F.countDistinct("row").alias("shared")).where(F.col("shared") * 10 >= F.col("n") * TENTHS)
+    tab_held = F.when(F.col("held"), F.col("long")).otherwise(F.col("short"))
+    found = covered.groupBy(tab_held.alias("tab_id"), F.when(F.col("held"), F.col("short")).otherwise(F.col("long")).alias("train_tab")).agg(F.max("shared").alias("shared"), F.max("n").alias("longer"))
+    named = found.join(sizes.select("tab_id", "split", "source"), "tab_id").withColumnRenamed("tab_id", "tab_held")
+    return named.select(F.least("tab_held", "train_tab").alias("tab_a"), F.greatest("tab_held", "train_tab").alias("tab_b"), "split", "source", "tab_held", "shared", "longer")
 
 
 def overlap_report(found: DataFrame) -> DataFrame:

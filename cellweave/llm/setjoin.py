@@ -27,7 +27,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.runtime import cut
+from cellweave.runtime import cut, split_join
 
 
 def token_counts(sets: DataFrame) -> DataFrame:
@@ -68,10 +68,11 @@ def _joined(left: DataFrame, right: DataFrame, counts: DataFrame, at_least: Frac
     if own:
         met = met.where("key_a < key_b")
     most = 1 + F.least(na - F.col("pos_a"), nb - F.col("pos_b")) - 1
-    met = met.where(most * (p + q) >= (na + nb) * p)  # positional filter; holds at the first shared pivot
-    met = met.where(F.element_at(F.array_intersect("pre_a", "pre_b"), 1) == F.col("token"))  # each pair in one cell only
+    met = met.where(most * (p + q) >= (na + nb) * p)  # positional filter; holds at the first shared value
     shared = F.size(F.array_intersect("toks_a", "toks_b"))
-    return met.select("key_a", "key_b", shared.alias("shared"), (na + nb - shared).alias("total")).where(F.col("shared") * q >= F.col("total") * p)
+    met = met.where(shared * (p + q) >= (na + nb) * p)
+    met = met.where(F.element_at(F.array_intersect("pre_a", "pre_b"), 1) == F.col("token"))  # each pair once
+    return met.select("key_a", "key_b", shared.alias("shared"), (na + nb - shared).alias("total"))
 
 
 #: One record in so many is chosen as a pivot.
@@ -124,9 +125,9 @@ def self_join(sets: DataFrame, at_least: Fraction, cell_rows: int = 20_000) -> D
     na, nb = F.size("toks_a"), F.size("toks_b")
     p, q = at_least.numerator, at_least.denominator
     shared = F.size(F.array_intersect("toks_a", "toks_b"))
-    exact = met.where((na * q >= nb * p) & (nb * q >= na * p)).select(
+    exact = met.where((na * q >= nb * p) & (nb * q >= na * p) & (shared * (p + q) >= (na + nb) * p)).select(
         F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"), shared.alias("shared"), (na + nb - shared).alias("total")
-    ).where(F.col("shared") * q >= F.col("total") * p)
+    )
     lone = cut(far)
     return exact.unionByName(_joined(lone, lone, counts, at_least, cell_rows, own=True)).dropDuplicates(["key_a", "key_b"])
 
@@ -134,7 +135,7 @@ def self_join(sets: DataFrame, at_least: Fraction, cell_rows: int = 20_000) -> D
 def cross_join_above(left: DataFrame, right: DataFrame, at_least: Fraction, cell_rows: int = 20_000) -> DataFrame:
     """Pairs between two collections of sets, as ``self_join``; rarity is counted over both."""
     counts = cut(token_counts(left.select("items").unionAll(right.select("items"))))
-    return _joined(ordered(left, counts), ordered(right, counts), counts, at_least, cell_rows, own=False)
+    return _joined(cut(ordered(left, counts)), cut(ordered(right, counts)), counts, at_least, cell_rows, own=False)
 
 
 def value_sets(candidates: DataFrame) -> DataFrame:
@@ -167,7 +168,9 @@ def expand(members: DataFrame, links: DataFrame) -> DataFrame:
     """``(id_a, id_b)``: pairs of records from pairs of classes and from equal sets."""
     a = members.select(F.col("key").alias("x"), F.col("class").alias("class_a"))
     b = members.select(F.col("key").alias("y"), F.col("class").alias("class_b"))
-    across = links.select(F.col("key_a").alias("class_a"), F.col("key_b").alias("class_b")).join(a, "class_a").join(b, "class_b")
-    within = a.join(b, F.col("class_a") == F.col("class_b")).where("x < y")
-    ends = across.select("x", "y").unionAll(within.select("x", "y"))
+    sides = links.select(F.col("key_a").alias("class_a"), F.col("key_b").alias("class_b"))
+    # Classes of linked sets are rarely large; those of equal sets may hold a third of all records.
+    across = split_join(b, split_join(a, sides, "class_a"), "class_b").select("x", "y")
+    within = split_join(a, b.withColumnRenamed("class_b", "class_a"), "class_a").where("x < y").select("x", "y")
+    ends = across.unionAll(within)
     return ends.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

@@ -180,7 +180,7 @@ def _shapes(df: DataFrame, column: str, common: list[str], typed: bool) -> DataF
                 items.append(grams(left[0]))
                 short = ("".join(found) for found in left)
                 rests.append(sorted({r for t in short if len(t) <= SHORT + MOST_SLIPS for r in remnants(t, MOST_SLIPS)}))
-            yield pd.DataFrame({"items": items, "rests": rests})
+            yield pd.DataFrame({"items": items, "rests": rests}, dtype=object)
 
     made = df.select(F.col(column).alias("key"), shape(column).alias("s"))
     hashed = lambda c: F.transform(f"s.{c}", lambda x: F.xxhash64(x)).alias(c)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.runtime import cut, spread
+from cellweave.runtime import cut, split_join, spread
 
 # Letters of other scripts that print like a Latin letter, and that letter.
 LOOK_ALIKES = dict(
@@ -159,10 +159,10 @@ def same_look(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """
     keyed = cut(look_keys(df, key, text))
     several = keyed.groupBy("look").agg(F.min("raw").alias("low"), F.max("raw").alias("high")).where("low <> high").select("look")
-    kept = keyed.join(several, "look", "left_semi").distinct()
+    kept = cut(keyed.join(several, "look", "left_semi").distinct())
     a = kept.select("look", F.col("raw").alias("raw_a"), F.col(key).alias("doc_a"))
     b = kept.select("look", F.col("raw").alias("raw_b"), F.col(key).alias("doc_b"))
-    return a.join(b, "look").where("raw_a <> raw_b and doc_a < doc_b").select("doc_a", "doc_b").distinct()
+    return split_join(a, b, "look").where("raw_a <> raw_b and doc_a < doc_b").select("doc_a", "doc_b").distinct()
 
 
 def look_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellweave.llm.names import plain, remnants, shortens, slips, words
-from cellweave.runtime import cut, keyed
+from cellweave.runtime import cut, keyed, split_join
 
 # Legal forms, titles and linking words as people type them.
 LEGAL = {"ltd", "limited", "inc", "incorporated", "gmbh", "sa", "ag", "llc", "plc", "corp"}
@@ -38,6 +38,8 @@ SHARED_PART = 0.0005
 #: Spellings in one cell, and pivots of one block at most: what is broadcast is bounded by blocks x pivots.
 CELL_SPELLINGS = 1_000
 MOST_PIVOTS = 256
+#: Short forms that may be listed: a table of a language, which goes to every worker.
+MOST_FORMS = 100_000
 
 
 class Lexicon(NamedTuple):
@@ -216,7 +218,10 @@ def lexicon_of(labels: DataFrame, forms: DataFrame) -> Lexicon:
         accepted.append((r["word"], r["n"]))
         (kinds if r["firm"] >= 0.1 else given).add(r["word"])
     short_given, short_kind = {}, {}
-    for r in forms.where("form is not null and full_form is not null").collect():
+    listed = forms.where("form is not null and full_form is not null").select("form", "full_form", "kind").distinct()
+    if listed.count() > MOST_FORMS:
+        raise ValueError(f"more than {MOST_FORMS} short forms")
+    for r in listed.orderBy("form", "full_form", "kind").collect():
         short, full = words(r["form"]), words(r["full_form"])
         if r["kind"] == "given" and short and full:
             short_given.setdefault(short[0], full[0])
@@ -425,5 +430,6 @@ def _agree(centred: DataFrame) -> DataFrame:
 
 def same_entity(found: DataFrame) -> DataFrame:
     """``(val_a, val_b)``: all pairs of rows of one entity."""
+    found = cut(found)
     a, b = found.select("entity", F.col("val_id").alias("val_a")), found.select("entity", F.col("val_id").alias("val_b"))
-    return a.join(b, "entity").where("val_a < val_b").select("val_a", "val_b")
+    return split_join(a, b, "entity").where("val_a < val_b").select("val_a", "val_b")

@@ -4,6 +4,7 @@ import datetime
 import random
 from fractions import Fraction
 
+import pytest
 from pyspark.sql import functions as F
 
 from cellweave.llm import mapping, names, overlap, queries, setjoin, variants
@@ -122,7 +123,10 @@ def test_repeated_tables(spark):
     assert overlap.repeated_tables(df.limit(0)).count() == 0
 
 
-def test_matches_equal_brute_force(spark):
+@pytest.mark.parametrize("most", [20_000, 7])
+def test_matches_equal_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(overlap, "ROUTE_PATTERNS", most)
+    monkeypatch.setattr(overlap, "SHARD_TEXTS", 2 * most)
     rnd = random.Random(12)
     word = lambda: "".join(rnd.choice("abc1") for _ in range(rnd.randrange(1, 7)))
     left, right = {word() for _ in range(120)}, {word() for _ in range(120)}

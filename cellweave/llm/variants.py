@@ -38,6 +38,8 @@ SHARED_PART = 0.0005
 #: Spellings in one cell, and pivots of one block at most: what is broadcast is bounded by blocks x pivots.
 CELL_SPELLINGS = 1_000
 MOST_PIVOTS = 256
+#: Longer spellings meet by their ends: a slip harms only one of them.
+LONG, END, LONG_PARTS = 50, 24, 64
 #: Short forms that may be listed: a table of a language, which goes to every worker.
 MOST_FORMS = 100_000
 
@@ -102,6 +104,8 @@ class Reader:
         self.long_kinds = frozenset(k for k in lexicon.kinds if len(k) >= 5)
         self.near_kinds = _near(self.long_kinds, 2)
         self.near_given = _near(frozenset(g for g in lexicon.given if len(g) >= 4), 1)
+        self.longest_kind = max(map(len, self.long_kinds), default=0) + 2
+        self.longest_given = max(map(len, lexicon.given), default=0) + 1
         self.kinds: dict[str, frozenset] = {}
         self.givens: dict[str, str | None] = {}
 
@@ -127,7 +131,7 @@ class Reader:
             short = {k for k in short if word[:2] == k[:2]} or (short if len(word) >= 5 else ())
             if short:
                 return short
-        if len(word) >= 5:
+        if 5 <= len(word) <= self.longest_kind:
             near = {k for rest in remnants(word, 2) for k in self.near_kinds.get(rest, ())}
             return {k for k in near if slips(word, k, 1 if len(k) < 7 else 2) <= (1 if len(k) < 7 else 2)}
         return ()
@@ -146,7 +150,7 @@ class Reader:
             return lexicon.short_given[word]
         if word in lexicon.given:
             return word
-        if len(word) >= 4:
+        if 4 <= len(word) <= self.longest_given:
             near = {g for rest in remnants(word, 1) for g in self.near_given.get(rest, ())}
             near = sorted(g for g in near if slips(word, g, 1) <= 1)
             if near:
@@ -287,6 +291,7 @@ def distances(spellings: list[str], pivot: str) -> np.ndarray:
 
 def _pivots(spellings: DataFrame) -> dict[str, tuple[list[str], int]]:
     """Pivots of each block, chosen by hash among its spellings: one for every CELL_SPELLINGS, at most about MOST_PIVOTS; and the number of parts each cell is split into beyond that."""
+    spellings = spellings.where(F.length("core") <= LONG)
     sizes = spellings.groupBy("block").agg(F.count("*").alias("n"), F.min("core").alias("least"))
     every = F.greatest(F.lit(1), F.ceil(F.col("n") / F.least(F.lit(MOST_PIVOTS), F.ceil(F.col("n") / CELL_SPELLINGS))))
     chosen = spellings.select("block", "core").join(sizes, "block").where((F.col("core") == F.col("least")) | (F.pmod(F.xxhash64("core"), every) == 0) & (F.col("n") > CELL_SPELLINGS))
@@ -303,15 +308,23 @@ def within_radius(spellings: DataFrame) -> DataFrame:
     cell whose pivot is at most twice the radius further than that, for no
     spelling within the radius can have its home in another one. The cells of a
     block with more spellings than all its pivots can take are split further, by
-    what is left of a spelling without one letter.
+    what is left of a spelling without one letter. Spellings of more than LONG
+    letters, and those of just that many, meet by their first and last letters.
     """
     pivots = spellings.sparkSession.sparkContext.broadcast(_pivots(spellings))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for block, some in pdf.groupby("block")["core"]:
-                marks, parts = pivots.value[block]
+                marks, parts = pivots.value.get(block, ([], 1))
                 cores = some.to_numpy()
+                size = np.array([len(c) for c in cores])
+                long = [(block, -1, zlib.crc32(end.encode()) % LONG_PARTS, c, len(c) > LONG) for c in cores[size >= LONG] for end in {c[:END], c[-END:]}]
+                if long:
+                    yield pd.DataFrame(long, columns=["block", "cell", "part", "core", "home"])
+                cores = cores[size <= LONG]
+                if not len(cores):
+                    continue
                 if len(marks) == 1:
                     at, who, home = np.zeros(len(cores), int), np.arange(len(cores)), np.ones(len(cores), bool)
                 else:
@@ -334,8 +347,9 @@ def _cell_join(pdf: pd.DataFrame) -> pd.DataFrame:
     block = pdf["block"].iloc[0]
     meet: dict[str, list[int]] = {}
     cores, homes = pdf["core"].tolist(), pdf["home"].tolist()
+    by_ends = pdf["cell"].iloc[0] < 0
     for i, core in enumerate(cores):
-        for form in remnants(core, RADIUS):
+        for form in (("^" + core[:END], "$" + core[-END:]) if by_ends else remnants(core, RADIUS)):
             meet.setdefault(form, []).append(i)
     seen, both = set(), set()
     for members in meet.values():
@@ -346,7 +360,7 @@ def _cell_join(pdf: pd.DataFrame) -> pd.DataFrame:
                         if x != y and (x, y) not in seen:
                             seen.add((x, y))
                             seen.add((y, x))
-                            if true_distance(cores[x], cores[y]) <= RADIUS:
+                            if (slips(cores[x], cores[y], RADIUS) if by_ends else true_distance(cores[x], cores[y])) <= RADIUS:
                                 both.add((cores[x], cores[y]))
                                 both.add((cores[y], cores[x]))
     return pd.DataFrame([(block, a, b) for a, b in both], columns=["block", "core", "near"])

@@ -147,6 +147,17 @@ def test_radius_join_equals_brute_force(spark, monkeypatch):
         assert {(r["core"], r["near"]) for r in variants.within_radius(df).collect()} == want
 
 
+def test_long_spellings_and_words_meet(spark):
+    rnd = random.Random(15)
+    base = ["".join(rnd.choice("abcdef") for _ in range(n)) for n in (48, 49, 50, 51, 52, 60, 3000)]
+    words = sorted({v for w in base for v in (w, w[1:], w[:20] + w[21:], w[:-1], w[:24] + w[25] + w[24] + w[26:], w[:25] + w[26] + w[25] + w[27:], "x" + w)})
+    df = spark.createDataFrame([("p", w) for w in words], "block string, core string")
+    got = {(r["core"], r["near"]) for r in variants.within_radius(df).collect()}
+    assert got == {(a, b) for a in words for b in words if a != b and names.slips(a, b, 1) <= 1}
+    reader = variants.Reader(variants.Lexicon(frozenset({"robert"}), frozenset({"foundation"}), {}, {}))
+    assert variants.read(f"Rboert {base[-1] * 5}", reader).first == "robert" and reader.kind_of("fuondatoin") == {"foundation"}
+
+
 def test_distances_to_a_pivot_are_those_of_the_plain_form():
     rnd = random.Random(14)
     words = ["".join(rnd.choice("abcé") for _ in range(rnd.randrange(9))) for _ in range(300)]
